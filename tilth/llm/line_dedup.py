@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 
 from tilth.llm._shared import BLANKS, LOWER, UPPER, checkpoint, text_of
 
+#: Lines that one in so many rows holds are sent to every task; there can't be more of them than this.
+MOST_OFTEN = 1000
+
 
 def _lines(docs: DataFrame, text: str, carry: tuple[str, ...]) -> DataFrame:
     own = docs.select("doc_id", text_of(text).alias("text"), *(F.col(c).alias(f"carried_{i}") for i, c in enumerate(carry)))
@@ -42,9 +45,13 @@ def line_dedup(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, text: st
         .filter(F.length("line") >= min_chars)
         .select("doc_id", "row_hash", "pos", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"))
     )
-    repeated = found.groupBy("h1", "h2").agg(F.count_distinct("doc_id").alias("n"), F.max("doc_id").alias("keeper")).filter(F.col("n") >= min_docs).select("h1", "h2", "keeper")
+    repeated = checkpoint(found.groupBy("h1", "h2").agg(F.count_distinct("doc_id").alias("n"), F.max("doc_id").alias("keeper")).filter(F.col("n") >= min_docs))
+    often = F.col("n") * MOST_OFTEN >= found.count()  # true of MOST_OFTEN lines at most, for each line found is one of theirs
+    tried = found.join(F.broadcast(repeated.filter(often).select("h1", "h2", "keeper")), ["h1", "h2"], "left")
+    rest = tried.filter("keeper is null").drop("keeper").join(repeated.filter(~often).select("h1", "h2", "keeper"), ["h1", "h2"])
     gone = (
-        found.join(repeated, ["h1", "h2"])
+        tried.filter("keeper is not null")
+        .unionByName(rest)
         .filter(~F.col("doc_id").eqNullSafe(F.col("keeper")))
         .groupBy(F.col("doc_id").alias("gone_id"), F.col("row_hash").alias("gone_hash"))
         .agg(F.collect_set("pos").alias("gone"))
