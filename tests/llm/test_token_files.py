@@ -1,4 +1,5 @@
 import zlib
+from functools import cache
 
 import numpy as np
 import public_tokenizers as P
@@ -34,11 +35,13 @@ TEXT = st.text(st.one_of(st.characters(exclude_categories=["Cs"]), st.sampled_fr
 @given(st.lists(TEXT, max_size=4))
 def test_encoder_on_any_text(texts):
     for name, cut in (("word_bpe_49k.json", "words"), ("byte_bpe_50k.json", "bytes")):
-        own, plain = CODERS.setdefault(name, (Encoder(P.path(name), cut), library(name)))
+        own, plain = coders(name, cut)
         assert [x.tolist() for x in own.encode(texts)] == [plain(t) for t in texts]
 
 
-CODERS = {}
+@cache
+def coders(name, cut):
+    return Encoder(P.path(name), cut), library(name)
 
 
 @settings(max_examples=60, deadline=None)

@@ -27,6 +27,9 @@ PRETOKENS = {
     "words": re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[0-9]|[^\\s{LETTERS}0-9]+"),
     "bytes": re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{LETTERS}]+| ?[0-9]+| ?[^\\s{LETTERS}0-9]+|\\s+(?!\\S)|\\s+"),
 }
+#: Texts of such characters only, which may be lower-cased as a whole, and their pieces: a word apart from a stop or comma after it.
+EASY_TEXT = re.compile(f"[!-~{LETTERS}\\s]*", re.ASCII)
+EASY_CUTS = {"words": re.compile(f"[{LETTERS}]+(?=[\\s.,])|\\S+", re.ASCII), "bytes": re.compile(f" ?[{LETTERS}]+(?=[\\s.,])|\\s*\\S+|\\s+", re.ASCII)}
 #: A blank and a character that no easy piece holds; no pretoken reaches over the blank, so it is one of its own.
 MARK = " \x01"
 
@@ -42,17 +45,17 @@ class Encoder:
     """cut: 'words', 'bytes', or None to hand whole texts to the library.
 
     Easy pieces that are not remembered go to the library in one call, as pretokens with marks
-    between pieces, past its normaliser; all others go through all of it. keep bounds the remembered
-    pieces; beyond it only those of the texts at hand stay.
+    between pieces, past its normaliser; all others go through all of it. Up to `keep` pieces are
+    remembered; then they become the older half, of which what is met again moves to the newer one.
     """
 
-    def __init__(self, path: str, cut: str | None, keep: int = 800_000, longest: int = 40):
+    def __init__(self, path: str, cut: str | None, keep: int = 450_000, longest: int = 40):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.cut, self.keep, self.longest, self.known = cut, keep, longest, {}
+        self.cut, self.keep, self.longest, self.known, self.older = cut, keep, longest, {}, {}
         if cut:
             self.light = Tokenizer.from_file(path)
             self.light.encode_special_tokens = True
@@ -82,6 +85,11 @@ class Encoder:
             out.update(zip(rest, (x.tobytes() for x in self._plain(rest)), strict=True))
         return out
 
+    def _cut(self, text: str) -> list[str]:
+        if EASY_TEXT.fullmatch(text):
+            return EASY_CUTS[self.cut].findall(text.lower() if self.cut == "words" else text)
+        return CUTS[self.cut].findall(text)
+
     def encode(self, texts: list[str], end: int | None = None, step: int = 64) -> list[np.ndarray]:
         """The ids of each text, with the id `end` after them."""
         tail = b"" if end is None else np.array([end], "<u4").tobytes()
@@ -89,13 +97,22 @@ class Encoder:
             return [np.frombuffer(x.tobytes() + tail, "<u4") for x in self._plain(texts)]
         out = []
         for i in range(0, len(texts), step):
-            cut, known = [CUTS[self.cut].findall(t) for t in texts[i : i + step]], self.known
-            new = self._pieces(list({p for pieces in cut for p in pieces if p not in known}))
-            if len(known) + len(new) > self.keep:
-                known = self.known = {p: known[p] for pieces in cut for p in pieces if p in known}
-            known.update(new)
-            out += [np.frombuffer(b"".join(map(known.__getitem__, pieces)) + tail, "<u4") for pieces in cut]
-            for p in new:
+            cut, known = list(map(self._cut, texts[i : i + step])), self.known
+            found = [list(map(known.get, pieces)) for pieces in cut]
+            gaps = [[k for k, ids in enumerate(f) if ids is None] if None in f else () for f in found]
+            new, older = {pieces[k] for pieces, g in zip(cut, gaps, strict=True) for k in g}, self.older
+            got = {p: older[p] for p in new if p in older}
+            fresh = self._pieces([p for p in new if p not in got])
+            got.update(fresh)
+            if len(known) + len(got) > self.keep:
+                self.older, self.known = known, {}
+                known = self.known
+            for pieces, g, f in zip(cut, gaps, found, strict=True):
+                for k in g:
+                    f[k] = got[pieces[k]]
+                out.append(np.frombuffer(b"".join(f) + tail, "<u4"))
+            known.update(got)
+            for p in fresh:
                 if len(p) > self.longest:
                     del known[p]
         return out

@@ -153,7 +153,8 @@ def read_token_files(manifest: DataFrame) -> DataFrame:
                 crc = [zlib.crc32(f.document(i).astype("<u4").tobytes()) for i in range(len(f.doc_ids))]
                 yield pd.DataFrame({"doc_id": pd.array(f.doc_ids, "Int64"), "start": start + f.starts[:-1], "n_tokens": np.diff(f.starts), "ids_crc32": np.array(crc, np.int64)})
 
-    return manifest.select("path", "start").repartition("path").mapInPandas(work, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    n = int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # said, so that these few rows aren't put into one task
+    return manifest.select("path", "start").repartition(n, "path").mapInPandas(work, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def token_file_digest(docs: DataFrame, tokenizer: str, end: int = 1, cut: str | None = "words") -> DataFrame:

@@ -193,7 +193,7 @@ def read_archives(record_map: DataFrame) -> DataFrame:
                 out[c] = pd.array([None if x is None else int(x) for x in out[c]], "Int64")
             yield out
 
-    places = record_map.select("path", "frame", "offset", "length").repartition("path").sortWithinPartitions("path", "frame", "offset")
+    places = record_map.select("path", "frame", "offset", "length").repartition(int(record_map.sparkSession.conf.get("spark.sql.shuffle.partitions")), "path").sortWithinPartitions("path", "frame", "offset")
     return places.mapInPandas(work, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
 
 
