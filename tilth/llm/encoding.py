@@ -49,7 +49,7 @@ class Encoder:
     remembered; then they become the older half, of which what is met again moves to the newer one.
     """
 
-    def __init__(self, path: str, cut: str | None, keep: int = 450_000, longest: int = 40):
+    def __init__(self, path: str, cut: str | None, keep: int = 300_000, longest: int = 40):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
