@@ -5,9 +5,9 @@ what they give for its own bytes and every two neighbours are what they give for
 the encoder a nondeterministic transducer over bytes: it walks the trie of the tokens from its root,
 may close a token at any node that ends one if it goes with the token before it, and starts again at
 the root. Its states are pairs of the token closed last and the trie's node. `Transducer` determinises
-it as the input asks for: a state of the machine is a set of such pairs, each with the tokens that it
-has closed but the set hasn't agreed on; what all agree on is emitted, so output lags by as many bytes
-as the ambiguity lasts. States and moves are kept up to a bound, beyond which the machine starts anew.
+it as the input asks for: a state of the machine is a list of such pairs. What all of them agree on is
+emitted, so output lags by a bounded lookahead, or by the ambiguity if that lasts longer. States and
+moves are kept up to a bound, beyond which the machine starts anew.
 
 Decoding. `Utf8` is the incremental machine that checks UTF-8 across tokens: its state is the bytes
 that a character still lacks and the range of the next one.
@@ -16,9 +16,10 @@ that a character still lacks and the range of the next one.
 from __future__ import annotations
 
 import base64
+import gc
 import hashlib
 from collections.abc import Iterator
-from functools import cache, lru_cache
+from functools import cache, cached_property, lru_cache
 
 import numpy as np
 import pandas as pd
@@ -27,8 +28,11 @@ from pyspark.sql import DataFrame
 
 from tilth.llm import files
 from tilth.llm._shared import text_of
+from tilth.llm.encoding import EASY_TEXT, PRETOKENS
 
 ROOT = 0
+# Fixed value: the public pattern of byte-level vocabularies.
+PUBLIC_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
 class Vocabulary:
@@ -38,6 +42,8 @@ class Vocabulary:
         self.ranks, self.bytes_of = ranks, {i: b for b, i in ranks.items()}
         self.moves: list[dict[int, int]] = [{}]
         self.ends: list[int] = [-1]
+        self.depth: list[int] = [0]
+        self.size = {i: len(b) for b, i in ranks.items()}
         for token in sorted(ranks):
             if self.merged(token) == (ranks[token],):
                 node = ROOT
@@ -46,6 +52,7 @@ class Vocabulary:
                         self.moves[node][byte] = len(self.moves)
                         self.moves.append({})
                         self.ends.append(-1)
+                        self.depth.append(self.depth[node] + 1)
                     node = self.moves[node][byte]
                 self.ends[node] = ranks[token]
         self.pairs: dict[tuple[int, int], bool] = {}
@@ -71,58 +78,77 @@ class Vocabulary:
 
 
 class Transducer:
-    """The determinised machine: moves[state][byte] is (next state, tokens emitted)."""
+    """The determinised machine: moves[state][byte] is (next state, the token that ends there or -1).
 
-    def __init__(self, vocabulary: Vocabulary, most_states: int = 150_000):
-        self.v, self.most = vocabulary, most_states
+    Bytes so far have one tokenization at most, so a state's pairs are what is still open of each
+    place where one ended. Those tokens wait in a list by the place of their end; what the open pairs
+    have in common, walking back, is emitted.
+    """
+
+    def __init__(self, vocabulary: Vocabulary, most_states: int = 150_000, lookahead: int = 512):
+        self.v, self.most, self.lookahead = vocabulary, most_states, lookahead
         self.reset()
 
     def reset(self) -> None:
-        start = ((-1, ROOT, ()),)
-        self.sets, self.numbers, self.moves, self.finals = [start], {start: 0}, [{}], [()]
+        start = ((-1, ROOT),)
+        self.sets, self.numbers, self.moves = [start], {start: 0}, [{}]
 
-    def _step(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
-        v, found = self.v, {}
-        for last, node, pending in self.sets[state]:
+    def _step(self, state: int, byte: int) -> tuple[int, int]:
+        v, found, ended = self.v, [], -1
+        for last, node in self.sets[state]:
             to = v.moves[node].get(byte)
-            if to is None:
-                continue
-            found[last, to] = pending
-            token = v.ends[to]
-            if token >= 0 and (last < 0 or v.together(last, token)):
-                found[token, ROOT] = (*pending, token)
-        agreed = 0
-        paths = list(found.values())
-        if paths:
-            shortest = min(map(len, paths))
-            while agreed < shortest and all(p[agreed] == paths[0][agreed] for p in paths):
-                agreed += 1
-        out = paths[0][:agreed] if paths else ()
-        key = tuple(sorted((last, node, p[agreed:]) for (last, node), p in found.items()))
+            if to is not None:
+                found.append((last, to))
+                token = v.ends[to]
+                if token >= 0 and (last < 0 or v.together(last, token)):
+                    ended = token
+        if ended >= 0:
+            found.append((ended, ROOT))
+        key = tuple(found)
         number = self.numbers.get(key)
         if number is None:
             number = self.numbers[key] = len(self.sets)
             self.sets.append(key)
             self.moves.append({})
-            self.finals.append(next((p for _, node, p in key if node == ROOT), None))
-        move = self.moves[state][byte] = (number, out)
+        move = self.moves[state][byte] = (number, ended)
         return move
 
+    def _back(self, ended: list[int], place: int) -> Iterator[int]:
+        """The places of ends before and at place, backwards, in the one tokenization that ends there."""
+        size = self.v.size
+        while place > 0:
+            yield place
+            place -= size[ended[place]]
+
     def encode(self, data: bytes) -> list[int]:
         if len(self.sets) > self.most:
             self.reset()
-        state, out, moves = 0, [], self.moves
+        state, out, moves, ended = 0, [], self.moves, [-1]
         for byte in data:
             move = moves[state].get(byte) or self._step(state, byte)
             state = move[0]
-            if move[1]:
-                out += move[1]
-        last = self.finals[state]
-        if last is None:
-            raise ValueError("the vocabulary lacks a byte of the text")
-        out += last
+            ended.append(move[1])
+            if len(ended) > self.lookahead:
+                ended = self._emit(state, ended, out)
+        if len(ended) > 1:
+            if ended[-1] < 0:
+                raise ValueError("the vocabulary lacks a byte of the text")
+            out += [ended[p] for p in self._back(ended, len(ended) - 1)][::-1]
         return out
 
+    def _emit(self, state: int, ended: list[int], out: list[int]) -> list[int]:
+        """Emits up to the last place that all open pairs come through; what is left of the list."""
+        at = len(ended) - 1
+        common = None
+        for _, node in self.sets[state]:
+            places = set(self._back(ended, at - self.v.depth[node]))
+            common = places if common is None else common & places
+        if not common:
+            return ended
+        place = max(common)
+        out += [ended[p] for p in self._back(ended, place)][::-1]
+        return [-1, *ended[place + 1 :]]
+
 
 #: (least, most) of the next byte and how many bytes a character lacks after it, by first byte. Fixed values of the UTF-8 standard.
 LEADS = ((0x00, 0x7F, 0, 0, 0), (0xC2, 0xDF, 1, 0x80, 0xBF), (0xE0, 0xE0, 2, 0xA0, 0xBF), (0xE1, 0xEC, 2, 0x80, 0xBF), (0xED, 0xED, 2, 0x80, 0x9F), (0xEE, 0xEF, 2, 0x80, 0xBF), (0xF0, 0xF0, 3, 0x90, 0xBF), (0xF1, 0xF3, 3, 0x80, 0xBF), (0xF4, 0xF4, 3, 0x80, 0x8F))
@@ -178,11 +204,15 @@ class Codec:
     def __init__(self, ranks: dict[bytes, int], pattern: str, keep: int = 500_000, longest: int = 48):
         self.vocabulary = Vocabulary(ranks)
         self.machine, self.pattern = Transducer(self.vocabulary), regex.compile(pattern)
-        self.keep, self.longest, self.known = keep, longest, {}
+        self.easy = PRETOKENS["bytes"] if pattern == PUBLIC_PATTERN else None  # says the same of easy texts, faster
+        self.keep, self.longest, self.known, self.older = keep // 2, longest, {}, {}
         self.tokens = self.vocabulary.bytes_of
 
     def piece(self, piece: str) -> bytes:
         """The ids of one match: its own id if it is a token, else what the machine says."""
+        if (ids := self.older.get(piece)) is not None:
+            self.known[piece] = ids
+            return ids
         data = piece.encode()
         own = self.vocabulary.ranks.get(data)
         ids = np.array([own] if own is not None else self.machine.encode(data), "<u4").tobytes()
@@ -192,10 +222,15 @@ class Codec:
 
     def encode(self, text: str) -> np.ndarray:
         if len(self.known) > self.keep:
-            self.known = {}
+            self.older, self.known = self.known, {}
         known, one = self.known, self.piece
-        pieces = self.pattern.findall(text)
-        return np.frombuffer(b"".join([known.get(p) or one(p) for p in pieces]), "<u4")
+        pieces = self.easy.findall(text) if self.easy and EASY_TEXT.fullmatch(text) else self.pattern.findall(text)
+        found = list(map(known.get, pieces))
+        if None in found:
+            for i, ids in enumerate(found):
+                if ids is None:
+                    found[i] = known.get(pieces[i]) or one(pieces[i])
+        return np.frombuffer(b"".join(found), "<u4")
 
     def stream(self, ids) -> Iterator[str]:
         """The text of ids, as soon as its characters are whole."""
@@ -209,28 +244,24 @@ class Codec:
         """The bytes of ids, checked as UTF-8 over the ends of tokens."""
         parts = list(map(self.tokens.__getitem__, ids.tolist()))
         data = b"".join(parts)
-        if not data.isascii():
-            state, after, clean = Utf8.CLEAN, Utf8.after, self._clean
+        if not self._clean[ids].all():
+            state, after = Utf8.CLEAN, Utf8.after
             for p in parts:
-                if state is not Utf8.CLEAN or p not in clean:
-                    state = after(state, p)[0]
+                state = after(state, p)[0]
             if state != Utf8.CLEAN:
                 raise UnicodeError("the text ends within a character")
         return data
 
-    @property
-    def _clean(self) -> frozenset:
-        """Tokens of whole characters only: from a clean state they lead to it."""
-        if not hasattr(self, "_whole"):
-
-            def whole(token: bytes) -> bool:
-                try:
-                    return Utf8.after(Utf8.CLEAN, token)[0] == Utf8.CLEAN
-                except UnicodeError:
-                    return False
-
-            self._whole = frozenset(filter(whole, self.tokens.values()))
-        return self._whole
+    @cached_property
+    def _clean(self) -> np.ndarray:
+        """By id: whether a token has whole characters only, so that it leads from a clean state to one."""
+        out = np.zeros(max(self.tokens) + 1, bool)
+        for i, token in self.tokens.items():
+            try:
+                out[i] = Utf8.after(Utf8.CLEAN, token)[0] == Utf8.CLEAN
+            except UnicodeError:
+                pass
+        return out
 
 
 @cache
@@ -251,9 +282,12 @@ def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
         own = codec(path, pattern)
         for b in batches:
             rows = []
+            gc.disable()  # the machine's tables hold no cycles, and a collector that walks them takes a third of the time
             for text in b["text"]:
                 ids = own.encode(text)
                 rows.append((len(ids), hashlib.sha256(ids.tobytes()).hexdigest(), hashlib.sha256(own.decode(ids)).hexdigest()))
+            gc.freeze()
+            gc.enable()
             yield pd.concat([b[["doc_id"]], pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"], index=b.index)], axis=1)
 
     kind = docs.schema["doc_id"].dataType.simpleString()

@@ -21,6 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -109,16 +110,17 @@ def _compared(buckets: DataFrame, least: float, every: bool) -> DataFrame:
     share = least + (1 - least) / 256  # bytes of different hashes may be equal
     sure_at, doubt_at = min(SKETCH, SKETCH * share + STRAY), SKETCH * share - STRAY
 
-    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:  # Arrow, for a row's lists are read where they lie
             found = []
-            for p, q, rep, component, mine, raw in zip(b["p"], b["q"], b["rep"], b["component"], b["mine"], b["sketch"], strict=True):
-                rep, component = np.asarray(rep), np.asarray(component)
-                x = np.frombuffer(b"".join(raw), np.uint8).reshape(-1, SKETCH)
+            ps, qs = b.column("p").to_numpy(), b.column("q").to_numpy()
+            for p, q, *lists in zip(ps, qs, *(b.column(c) for c in ("rep", "component", "mine", "sketch")), strict=True):
+                rep, component, mine = (v.values.to_numpy() for v in lists[:3])
+                x = np.frombuffer(b"".join(lists[3].values.to_pylist()), np.uint8).reshape(-1, SKETCH)
                 equal = np.array([(x == row).sum(axis=1) for row in x])
                 can = component[:, None] != component[None, :]
                 if p != q:
-                    side = np.asarray(mine) == q
+                    side = mine == q
                     can &= side[:, None] != side[None, :]
                 i, j = np.nonzero(np.triu(can & (equal >= doubt_at), 1))
                 if not len(i):
@@ -147,9 +149,9 @@ def _compared(buckets: DataFrame, least: float, every: bool) -> DataFrame:
                     i, j = i[pick], j[pick]
                 found.append((rep[i], rep[j], np.zeros(len(i), bool)))
             cols = [np.concatenate([f[k] for f in found]) if found else np.zeros(0, np.int64 if k < 2 else bool) for k in range(3)]
-            yield pd.DataFrame({"a": np.minimum(cols[0], cols[1]), "b": np.maximum(cols[0], cols[1]), "sure": cols[2]})
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in (np.minimum(cols[0], cols[1]), np.maximum(cols[0], cols[1]), cols[2])], ["a", "b", "sure"])
 
-    return buckets.mapInPandas(work, "a long, b long, sure boolean").distinct()
+    return buckets.mapInArrow(work, "a long, b long, sure boolean").distinct()
 
 
 def _exact(pairs: DataFrame, docs: DataFrame, k: int, least: float) -> DataFrame:
@@ -176,7 +178,7 @@ def _exact(pairs: DataFrame, docs: DataFrame, k: int, least: float) -> DataFrame
     return joined.mapInPandas(work, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, least: float = 0.8, block: int = 256) -> DataFrame:
+def near_duplicates(docs: DataFrame, k: int = 5, least: float = 0.8, block: int = 128) -> DataFrame:
     """doc_id and component_id, the smallest doc_id reachable over links, for each doc_id that isn't null.
 
     Documents link if their words are the same or their sets of k-word shingles (fewer words: all as

@@ -17,6 +17,7 @@ from itertools import product
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -86,7 +87,7 @@ def _links(vec, weight, codes, code, side, tables, least):
     return count.astype(np.int64), root
 
 
-def near_vectors(vectors: DataFrame, least: float = 0.98, tables: int = 3, parts: int = 3, probes: int = 2, block: int = 256) -> DataFrame:
+def near_vectors(vectors: DataFrame, least: float = 0.98, tables: int = 3, parts: int = 3, probes: int = 2, block: int = 128) -> DataFrame:
     """vec_id, n_links, component_id, kept for each row of (vec_id, embedding, label).
 
     Defined cases: a null label, and a vector that is null, empty or zero or holds a null, NaN or
@@ -94,10 +95,10 @@ def near_vectors(vectors: DataFrame, least: float = 0.98, tables: int = 3, parts
     don't link. Rows that share a vec_id are nodes with one name. A null vec_id is kept as it is. An
     empty table gives an empty one; other columns are not looked at.
     """
-    d = "array<double>"
+    d = "array<float>" if vectors.schema["embedding"].dataType.simpleString() == "array<float>" else "array<double>"
     own = vectors.select("vec_id", F.col("embedding").cast(d).alias("embedding"), "label")
     whole = F.size("embedding") > 0
-    finite = F.forall("embedding", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))) & F.exists("embedding", lambda v: v != 0)
+    finite = F.forall("embedding", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v.cast("double")) < float("inf"))) & F.exists("embedding", lambda v: v != 0)
     own = own.withColumn("links", F.coalesce(F.col("label").isNotNull() & F.col("vec_id").isNotNull() & whole & finite, F.lit(False)))
     label = vectors.schema["label"].dataType.simpleString()
     classes = checkpoint(own.filter("links").groupBy("label", "embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n")).withColumn("rep", F.col("rep").cast("long")))
@@ -124,18 +125,24 @@ def near_vectors(vectors: DataFrame, least: float = 0.98, tables: int = 3, parts
         .filter(F.size("rows") > 1)
         .select("code", "p", "q", F.col("rows.rep").alias("rep"), F.col("rows.n").alias("n"), F.col("rows.mine").alias("mine"), F.col("rows.embedding").alias("embedding"), F.col("rows.codes").alias("codes"))
     )
-    def compared(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
+    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:  # Arrow, for a row's lists are read where they lie
+            code, p, q = (b.column(c).to_numpy() for c in ("code", "p", "q"))
+            rep, n, mine, vec, codes = (b.column(c) for c in ("rep", "n", "mine", "embedding", "codes"))
             out = []
-            for code, p, q, rep, n, mine, vec, codes in zip(*(b[c] for c in ("code", "p", "q", "rep", "n", "mine", "embedding", "codes")), strict=True):
-                rep, order = np.asarray(rep), np.argsort(rep, kind="stable")
-                side = np.asarray(mine)[order] == q if p != q else np.zeros(len(rep), bool)
-                count, root = _links(np.stack(vec)[order].astype(float), np.asarray(n)[order], np.stack(codes)[order], code, side, tables, least)
+            for i in range(b.num_rows):
+                ids = rep[i].values.to_numpy()
+                order = np.argsort(ids, kind="stable")
+                ids, part = ids[order], mine[i].values.to_numpy()[order]
+                side = part == q[i] if p[i] != q[i] else np.zeros(len(ids), bool)
+                x, keys = (c[i].values.flatten().to_numpy().reshape(len(ids), -1)[order] for c in (vec, codes))
+                count, root = _links(x.astype(float), n[i].values.to_numpy()[order], keys, code[i], side, tables, least)
                 if (at := np.nonzero(count)[0]).size:
-                    out.append(pd.DataFrame({"rep": rep[order][at], "n": count[at], "root": rep[order][root[at]]}))
-            yield pd.concat(out) if out else pd.DataFrame({"rep": [], "n": [], "root": []}, dtype=np.int64)
+                    out.append((ids[at], count[at], ids[root[at]]))
+            columns = [np.concatenate([o[k] for o in out]) if out else np.zeros(0, np.int64) for k in range(3)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["rep", "n", "root"])
 
-    found = checkpoint(dealt.mapInPandas(compared, "rep long, n long, root long"))
+    found = checkpoint(dealt.mapInArrow(compared, "rep long, n long, root long"))
     counts = found.groupBy("rep").agg(F.sum("n").alias("others"))
     parts_of = connected_components(found.select("rep", "root").distinct(), "rep", "root").select(F.col("node").alias("rep"), "component")
     named = classes.join(counts, "rep", "left").join(parts_of, "rep", "left").select("label", "embedding", (F.coalesce("others", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))

@@ -166,7 +166,7 @@ def write_archives(pages: DataFrame, to: str, min_bytes: int = 0, frame_bytes: i
         if map_rows:
             yield close_bundle()
 
-    dealt = joined.select("page_id", "url", "html", "refers_to").repartition("page_id").sortWithinPartitions("page_id", "url", "html")
+    dealt = joined.select("page_id", "url", "html", "refers_to").sortWithinPartitions("page_id", "url", "html")
     return checkpoint(dealt.mapInPandas(work, MAP))
 
 
