@@ -244,12 +244,15 @@ class Codec:
         """The bytes of ids, checked as UTF-8 over the ends of tokens."""
         parts = list(map(self.tokens.__getitem__, ids.tolist()))
         data = b"".join(parts)
-        if not self._clean[ids].all():
-            state, after = Utf8.CLEAN, Utf8.after
-            for p in parts:
-                state = after(state, p)[0]
-            if state != Utf8.CLEAN:
-                raise UnicodeError("the text ends within a character")
+        at = 0
+        for i in np.nonzero(~self._clean[ids])[0].tolist():  # from a clean state, clean tokens lead to it again
+            if i < at:
+                continue
+            state, at = Utf8.after(Utf8.CLEAN, parts[i])[0], i + 1
+            while state != Utf8.CLEAN:
+                if at == len(parts):
+                    raise UnicodeError("the text ends within a character")
+                state, at = Utf8.after(state, parts[at])[0], at + 1
         return data
 
     @cached_property
