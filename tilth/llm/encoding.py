@@ -119,6 +119,6 @@ class Encoder:
 
 
 @cache
-def encoder(path: str, cut: str | None) -> Encoder:
+def encoder(path: str, cut: str | None, keep: int = 300_000) -> Encoder:
     """One for each worker process, so its tasks share what is remembered."""
-    return Encoder(path, cut)
+    return Encoder(path, cut, keep)

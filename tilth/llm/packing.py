@@ -151,7 +151,7 @@ def pieces_of(docs: DataFrame, tokenizer: str, capacity: int = 2048, end: int =
     """doc_id, piece, start, length, ids_crc32: documents longer than a sequence in full pieces but the first."""
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        coder = encoder(tokenizer, cut)
+        coder = encoder(tokenizer, cut, 120_000)  # little memory: other stages' workers are the same processes
         for b in batches:
             rows = []
             for doc, ids in zip(b["doc_id"], coder.encode(list(b["text"]), end), strict=True):

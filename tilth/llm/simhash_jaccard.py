@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tilth.llm._shared import LOWERED, checkpoint, connected_components, text_of
+from tilth.llm._shared import LOWERED, checkpoint, connected_components, small_batches, text_of
 from tilth.llm.simhash import golay_indices, hashes
 
 BANDS, SKETCH, BITS = 12, 128, 23
@@ -193,13 +193,14 @@ def near_duplicates(docs: DataFrame, k: int = 5, least: float = 0.8, block: int
     first = every.filter("sketch is not null").join(classes.select("n1", "n2", F.col("least").alias("rep")), ["n1", "n2", "rep"], "left_semi").select("rep", "anchors", "prints", "sketch").dropDuplicates(["rep"])
     reps = checkpoint(first.withColumn("component", F.col("rep")))
     same = every.join(classes.filter("n > 1").select("n1", "n2", "least"), ["n1", "n2"]).select(F.col("rep").alias("a"), F.col("least").alias("b"))
-    found = checkpoint(_compared(_buckets(reps, block), least, every=False))
-    links = checkpoint(found.filter("sure").select("a", "b").unionByName(_exact(found.filter("not sure").select("a", "b"), known, k, least)))
-    parts = connected_components(links)
-    now = reps.drop("component").join(parts.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    left = checkpoint(_compared(_buckets(checkpoint(now), block), least, every=True).select("a", "b").join(found.filter("not sure").select("a", "b"), ["a", "b"], "left_anti"))
-    links = links.unionByName(_exact(left, known, k, least)).unionByName(same)
-    parts = connected_components(links)
+    with small_batches(docs.sparkSession):
+        found = checkpoint(_compared(_buckets(reps, block), least, every=False))
+        links = checkpoint(found.filter("sure").select("a", "b").unionByName(_exact(found.filter("not sure").select("a", "b"), known, k, least)))
+        parts = connected_components(links)
+        now = reps.drop("component").join(parts.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+        left = checkpoint(_compared(_buckets(checkpoint(now), block), least, every=True).select("a", "b").join(found.filter("not sure").select("a", "b"), ["a", "b"], "left_anti"))
+        more = checkpoint(_exact(left, known, k, least))
+    parts = connected_components(links.unionByName(more).unionByName(same))
     kind = docs.schema["doc_id"].dataType.simpleString()
     ids = every.select("rep").distinct().join(parts.withColumnRenamed("node", "rep"), "rep", "left")
     return ids.select(F.col("rep").cast(kind).alias("doc_id"), F.coalesce("component", "rep").cast(kind).alias("component_id"))

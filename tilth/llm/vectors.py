@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tilth.llm._shared import checkpoint, connected_components
+from tilth.llm._shared import checkpoint, connected_components, small_batches
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
@@ -142,7 +142,8 @@ def near_vectors(vectors: DataFrame, least: float = 0.98, tables: int = 3, parts
             columns = [np.concatenate([o[k] for o in out]) if out else np.zeros(0, np.int64) for k in range(3)]
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["rep", "n", "root"])
 
-    found = checkpoint(dealt.mapInArrow(compared, "rep long, n long, root long"))
+    with small_batches(vectors.sparkSession):
+        found = checkpoint(dealt.mapInArrow(compared, "rep long, n long, root long"))
     counts = found.groupBy("rep").agg(F.sum("n").alias("others"))
     parts_of = connected_components(found.select("rep", "root").distinct(), "rep", "root").select(F.col("node").alias("rep"), "component")
     named = classes.join(counts, "rep", "left").join(parts_of, "rep", "left").select("label", "embedding", (F.coalesce("others", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
