@@ -111,6 +111,14 @@ def _compared(buckets: DataFrame, least: float, every: bool) -> DataFrame:
     sure_at, doubt_at = min(SKETCH, SKETCH * share + STRAY), SKETCH * share - STRAY
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        joined: dict[int, int] = {}  # what this task has linked: a link within one of its components says nothing new
+        said: set[tuple[int, int]] = set()
+
+        def find(i: int) -> int:
+            while (up := joined.get(i, i)) != i:
+                joined[i] = i = joined.get(up, up)
+            return i
+
         for b in batches:  # Arrow, for a row's lists are read where they lie
             found = []
             ps, qs = b.column("p").to_numpy(), b.column("q").to_numpy()
@@ -136,7 +144,10 @@ def _compared(buckets: DataFrame, least: float, every: bool) -> DataFrame:
                     if (root == before).all():
                         break
                 at = np.nonzero(root != np.arange(len(rep)))[0]
-                found.append((rep[at], rep[root[at]], np.ones(len(at), bool)))
+                for x1, x2 in zip(rep[at].tolist(), rep[root[at]].tolist(), strict=True):
+                    if (r1 := find(x1)) != (r2 := find(x2)):
+                        joined[max(r1, r2)] = min(r1, r2)
+                        found.append((x1, x2, True))
                 open_ = (n < sure_at) & (root[i] != root[j])
                 i, j, n = i[open_], j[open_], n[open_]
                 if not every and len(i):
@@ -147,8 +158,11 @@ def _compared(buckets: DataFrame, least: float, every: bool) -> DataFrame:
                     _, first = np.unique(both[rank], return_index=True)
                     pick = np.unique(place[rank][first])
                     i, j = i[pick], j[pick]
-                found.append((rep[i], rep[j], np.zeros(len(i), bool)))
-            cols = [np.concatenate([f[k] for f in found]) if found else np.zeros(0, np.int64 if k < 2 else bool) for k in range(3)]
+                for pair in zip(rep[i].tolist(), rep[j].tolist(), strict=True):
+                    if pair not in said and find(pair[0]) != find(pair[1]):
+                        said.add(pair)
+                        found.append((*pair, False))
+            cols = [np.array([f[k] for f in found], np.int64 if k < 2 else bool) for k in range(3)]
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in (np.minimum(cols[0], cols[1]), np.maximum(cols[0], cols[1]), cols[2])], ["a", "b", "sure"])
 
     return buckets.mapInArrow(work, "a long, b long, sure boolean").distinct()
