@@ -10,6 +10,8 @@ from __future__ import annotations
 
 import os
 import re
+from array import array
+from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
@@ -44,29 +46,37 @@ def byte_letters() -> dict[int, str]:
 class Encoder:
     """cut: 'words', 'bytes', or None to hand whole texts to the library.
 
-    Easy pieces that are not remembered go to the library in one call, as pretokens with marks
-    between pieces, past its normaliser; all others go through all of it. Up to `keep` pieces are
-    remembered; then they become the older half, of which what is met again moves to the newer one.
+    Easy pieces that are not remembered go to the library's model as pretokens, past its normaliser;
+    all others go through all of it. Up to `keep` pieces are remembered; then they become the older
+    half, of which what is met again moves to the newer one.
     """
 
     def __init__(self, path: str, cut: str | None, keep: int = 300_000, longest: int = 40):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer, normalizers, pre_tokenizers
+        from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.cut, self.keep, self.longest, self.known, self.older = cut, keep, longest, {}, {}
         if cut:
-            self.light = Tokenizer.from_file(path)
-            self.light.encode_special_tokens = True
-            self.light.normalizer, self.light.pre_tokenizer = normalizers.Sequence([]), pre_tokenizers.WhitespaceSplit()
-            self.letters = byte_letters()
-            self.mark = self._light(MARK)
-
-    def _light(self, text: str) -> np.ndarray:
-        pretokens = "\0".join(PRETOKENS[self.cut].findall(text.lower() if self.cut == "words" else text))
-        mapped = pretokens.encode().decode("latin-1").translate(self.letters | {0: " "})
-        return np.array(self.light.encode_batch_fast([mapped], add_special_tokens=False)[0].ids, "<u4")
+            self.letters = byte_letters() | {0: " "}
+            (self.mark,) = self._pretokens([])
+
+    def _pretokens(self, pieces: list[str]) -> list[str]:
+        """In the model's letters, with a mark after each piece."""
+        joined = (MARK + " " * (self.cut == "words")).join([*pieces, ""]) or MARK
+        found = PRETOKENS[self.cut].findall(joined.lower() if self.cut == "words" else joined)
+        return "\0".join(found).encode().decode("latin-1").translate(self.letters).split(" ")
+
+    def _light(self, pieces: list[str]) -> Iterator[bytes]:
+        """The ids of each of these easy pieces, from the library's model alone."""
+        merge, mark, ids = self.tokenizer.model.tokenize, self.mark, array("I")
+        for w in self._pretokens(pieces):
+            if w == mark:
+                yield ids.tobytes()
+                ids = array("I")
+            else:
+                ids.extend([t.id for t in merge(w)])
 
     def _plain(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -75,12 +85,7 @@ class Encoder:
         easy = list(filter(EASY[self.cut].fullmatch, pieces))
         out = {}
         if easy:
-            ids = self._light((MARK + " " * (self.cut == "words")).join(easy))
-            ends = np.append(np.nonzero(ids == self.mark[-1])[0] + 1, len(ids) + len(self.mark))
-            raw, start, less = ids.tobytes(), 0, 4 * len(self.mark)
-            for p, end in zip(easy, (4 * ends).tolist(), strict=True):
-                out[p] = raw[start : end - less]
-                start = end
+            out.update(zip(easy, self._light(easy), strict=True))
         if rest := [p for p in pieces if p not in out]:
             out.update(zip(rest, (x.tobytes() for x in self._plain(rest)), strict=True))
         return out
