@@ -5,9 +5,10 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from tilth.functions import reml, zoning
+from tilth.functions import reml, reports, zoning
 from tilth.functions.distributions import adjust, f_tail, t_quantile, t_tail, tukey_tail
 from tilth.functions.formulas import parse_residual
+from tilth.operators import clean
 from tilth.operators.kriging import krige
 from tilth.operators.simulate import surface
 from tilth.operators.variogram import Variogram
@@ -162,6 +163,43 @@ def test_segments_and_zones():
     assert set(flat) == {1}
 
 
+def test_neighbours_and_components():
+    xy = np.random.default_rng(10).random((300, 2))
+    far = ((xy[:, None] - xy[None]) ** 2).sum(axis=2)
+    np.fill_diagonal(far, np.inf)
+    want = {tuple(sorted((i, int(j)))) for i in range(300) for j in np.argsort(far[i])[:5]}
+    assert {tuple(e) for e in zoning.nearest_edges(xy, 5, step=64).tolist()} == want
+    assert len(zoning.nearest_edges(xy[:1], 5)) == 0
+    z = np.random.default_rng(11).normal(size=(200, 3)) @ np.diag([5.0, 1.0, 0.1])
+    s = zoning.principal(z, 2)
+    assert np.allclose(s.var(axis=0, ddof=1), np.sort(np.linalg.eigvalsh(np.cov(z.T)))[::-1][:2]) and np.corrcoef(s[:, 0], z[:, 0])[0, 1] > 0.99
+
+
+@pytest.mark.parametrize("turn", [0.0, 0.5, 1.4])
+def test_passes_by_place(turn):
+    rng = np.random.default_rng(12)
+    own = np.repeat(np.arange(8), 80)
+    along = np.tile(np.arange(80) * 2.0, 8)
+    at = np.column_stack([along, own * 9.0 + 0.1 * rng.normal(size=640)]) @ np.array([[np.cos(turn), np.sin(turn)], [-np.sin(turn), np.cos(turn)]])
+    mix = rng.permutation(640)
+    got = clean.swaths(at[mix])
+    assert len(set(zip(own[mix].tolist(), got.tolist(), strict=True))) == 8 == len(set(got.tolist()))
+    assert clean.swaths(at[:1]).tolist() == [1] and len(clean.swaths(at[:0])) == 0 and set(clean.swaths(np.zeros((5, 2)))) == {1}
+
+
+def test_texts():
+    rng = np.random.default_rng(13)
+    d = pd.DataFrame({"row": np.repeat(np.arange(8), 6), "col": np.tile(np.arange(6), 8), "treat": np.tile(list("ABC"), 16), "y": rng.normal(size=48)})
+    f = reml.fit_ofe(d, "y ~ treat", residual="~ id(row):id(col)")
+    text = reports.fit_text(f)
+    assert "48 rows" in text and all(t in text for t in f.names)
+    s = reports.fit_summary(f)
+    assert np.allclose(s["statistic"] * s["std_error"], s["estimate"]) and [t_quantile(1 - p / 2, f.df) for p in s["p_value"]] == pytest.approx(s["statistic"].abs().tolist(), rel=1e-6)
+    assert reports.diagnostics(f).groupby("panel").size().to_dict() == {"fitted": 48, "quantile": 48}
+    bins = pd.DataFrame({"h": [1.0], "gamma": [0.5], "n_pair": [9]})
+    assert "practical range 30" in reports.variogram_text(bins, Variogram("Exp", 0.2, 1.0, 10.0))
+
+
 def test_surface_has_its_variance_and_range():
     f = np.array([surface(np.random.default_rng(s), 40, 40, 12.0) for s in range(60)])
     assert f.var() == pytest.approx(1, abs=0.15)

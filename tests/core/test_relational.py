@@ -2,7 +2,7 @@ import duckdb
 import pytest
 
 from tilth import queries
-from tilth.operators import clean, design, grid, variogram, zones
+from tilth.operators import clean, design, grid, trials, variogram, zones
 from tilth.operators.maps import ink_on, ofe_map, ofe_palette
 
 SF = "/root/testdata/sf0.001"
@@ -53,6 +53,22 @@ def test_edges_and_passes(spark):
     assert {r[1] for r in got} == {4}
 
 
+def test_passes_without_an_order(spark):
+    rows = [(t, float(k), p * 9.0) for t in ("a", "b") for p in range(4) for k in range(20)] + [("a", None, 1.0)]
+    got = clean.derive_passes(spark.createDataFrame(rows, "trial string, x double, y double")).collect()
+    assert len(got) == 161 and {(r["pass"], r["y"]) for r in got if r["x"] is not None} == {(p + 1, p * 9.0) for p in range(4)}
+    assert [r["pass"] for r in got if r["x"] is None] == [None]
+
+
+def test_zones_by_nearest_cells_and_components(spark):
+    rows = [("a", r, c, 3.0 * (c > 8) + 0.1 * ((7 * r + 3 * c) % 5), 6.0 * (c > 8) + 0.1 * ((3 * r + c) % 7)) for r in range(1, 13) for c in range(1, 17)]
+    cells = spark.createDataFrame(rows, "trial string, row int, col int, v double, w double")
+    got = trials.partition_paddock(cells, "trial", ["v", "w"], "skater", neighbours="knn", n_pc=1).collect()
+    assert len(got) == 192 and all(g["zone"] == (2 if g["col"] > 8 else 1) for g in got)
+    with pytest.raises(ValueError, match="unknown neighbours"):
+        trials.partition_paddock(cells, "trial", ["v"], neighbours="king")
+
+
 def test_tally_adds_up(spark):
     marked = clean.clean_yield_monitor(cloud(spark), yield_range=(1, 5), outlier_mad=2.0, drop=False)
     t = {r["rule"]: r["removed"] for r in clean.removal_tally(marked).collect()}

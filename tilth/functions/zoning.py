@@ -99,6 +99,27 @@ def connect(edges: np.ndarray, xy: np.ndarray) -> np.ndarray:
         edges.append((min(own[i], other[j]), max(own[i], other[j])))
 
 
+def nearest_edges(xy: np.ndarray, k: int = 8, step: int = 256) -> np.ndarray:
+    """Edges from each cell to its k nearest, each pair once; ties go to the earlier cell. Distances are held for `step` cells at a time."""
+    n, pairs = len(xy), []
+    for i in range(0, n, step):
+        own = np.arange(i, min(i + step, n))
+        far = ((xy[own][:, None] - xy[None]) ** 2).sum(axis=2)
+        far[own - i, own] = np.inf
+        near = np.argsort(far, axis=1, kind="stable")[:, : min(k, n - 1)]
+        pairs.append(np.column_stack([np.repeat(own, near.shape[1]), near.ravel()]))
+    both = np.concatenate(pairs) if pairs else np.zeros((0, 2), int)
+    return np.unique(np.sort(both, axis=1), axis=0)
+
+
+def principal(z: np.ndarray, n: int) -> np.ndarray:
+    """Scores on the first n principal components; a component's largest loading is positive."""
+    z = z - z.mean(axis=0)
+    axes = np.linalg.svd(z, full_matrices=False)[2][:n]
+    axes = axes * np.sign(np.take_along_axis(axes, np.abs(axes).argmax(axis=1)[:, None], 1))
+    return z @ axes.T
+
+
 def spanning_tree(n: int, edges: np.ndarray, z: np.ndarray) -> np.ndarray:
     """Edges of the tree with the least differences in z."""
     cost = ((z[edges[:, 0]] - z[edges[:, 1]]) ** 2).sum(axis=1)

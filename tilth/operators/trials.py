@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tilth.functions import reml, zoning
+from tilth.operators.zones import STEPS
 from tilth.semantics import require_columns
 
 FIT = "term string, estimate double, std_error double, sigma2 double, loglik double, n long, n_dropped long, converged boolean, varcomp string, error string"
@@ -54,10 +55,15 @@ def trial_means(data: DataFrame, trial: str, term: str, fixed: str, random: str
     return per_trial(data, trial, MEANS, work)
 
 
-def partition_paddock(cells: DataFrame, trial: str, covariates: list[str], method: str = "rectangle", neighbours: str = "rook", **options) -> DataFrame:
-    """row, col, zone of each trial's cells by standardised covariates; constant ones are left out."""
-    require_columns(cells, trial, "row", "col", *covariates)
-    shifts = {"rook": ((1, 0), (0, 1)), "queen": ((1, 0), (0, 1), (1, 1), (1, -1))}[neighbours]
+def partition_paddock(cells: DataFrame, trial: str, covariates: list[str], method: str = "rectangle", neighbours: str = "rook", n_neighbours: int = 8, n_pc: int | None = None, x: str = "col", y: str = "row", **options) -> DataFrame:
+    """row, col, zone of each trial's cells by standardised covariates; constant ones are left out.
+
+    neighbours: 'rook', 'queen', or 'knn' for the n_neighbours nearest by x and y. With n_pc the zones
+    follow that many principal components.
+    """
+    require_columns(cells, trial, "row", "col", x, y, *covariates)
+    if neighbours != "knn" and neighbours not in STEPS:
+        raise ValueError(f"unknown neighbours: {neighbours}")
 
     def work(g: pd.DataFrame) -> pd.DataFrame:
         g = g.dropna(subset=covariates).sort_values(["row", "col"])
@@ -66,10 +72,15 @@ def partition_paddock(cells: DataFrame, trial: str, covariates: list[str], metho
         if not (spread > 0).any():
             raise ValueError("all covariates are constant")
         z = ((v - v.mean(axis=0)) / np.where(spread > 0, spread, 1))[:, spread > 0]
-        row, col = g["row"].to_numpy(), g["col"].to_numpy()
+        if n_pc:
+            z = zoning.principal(z, n_pc)
+        row, col, xy = g["row"].to_numpy(), g["col"].to_numpy(), g[[x, y]].to_numpy(float)
         place = {rc: i for i, rc in enumerate(zip(row, col, strict=True))}
-        edges = np.array([(i, place[r + a, c + b]) for (r, c), i in place.items() for a, b in shifts if (r + a, c + b) in place], int).reshape(-1, 2)
-        zone, _ = zoning.partition(row, col, np.column_stack([col, row]).astype(float), z, edges, method, **options)
+        if neighbours == "knn":
+            edges = zoning.nearest_edges(xy, n_neighbours)
+        else:
+            edges = np.array([(i, place[r + a, c + b]) for (r, c), i in place.items() for a, b in STEPS[neighbours] if (r + a, c + b) in place], int).reshape(-1, 2)
+        zone, _ = zoning.partition(row, col, xy, z, edges, method, **options)
         return pd.DataFrame({"row": row, "col": col, "zone": zone})
 
     return per_trial(cells, trial, "row int, col int, zone int", work)
