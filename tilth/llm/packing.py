@@ -2,8 +2,8 @@
 
 A packing depends on the pieces' lengths alone, and there are at most `capacity` lengths: the driver
 sees one count for each length, never a piece. It packs the counts best fit decreasing, equal bins at
-a time, and then improves bins that are not full: pieces move, or are exchanged one for one or two for
-one, where that raises the sum of squared fills, until bins run empty. The outcome is a list of
+a time, and then improves bins that are not full: one or two pieces move, or are exchanged for one,
+where that raises the sum of squared fills, until no such change is left. The outcome is a list of
 patterns with a number of copies each. Pieces take their places by their rank within a length.
 """
 
@@ -64,55 +64,121 @@ def best_fit(counts: dict[int, int], capacity: int) -> Counter:
     return sum(bins.values(), Counter())
 
 
-def _better(a: tuple, b: tuple, capacity: int) -> tuple[tuple, tuple] | None:
-    """Two bins after the change with the largest gain in squared fill, if there is one."""
-    fill_a, fill_b = sum(a), sum(b)
-    room, best, gain = capacity - fill_b, None, 0
-    for n_out, n_in in ((1, 0), (1, 1), (2, 1)):
-        for out in set(combinations(a, n_out)):
-            for back in set(combinations(b, n_in)):
-                d = sum(out) - sum(back)
-                if 0 < d <= room and (g := d * (fill_b - fill_a + d)) > gain:
-                    gain, best = g, (out, back)
-    if best is None:
-        return None
-    new_a, new_b = Counter(a), Counter(b)
-    new_a.subtract(best[0]), new_b.subtract(best[1])
-    new_a.update(best[1]), new_b.update(best[0])
-    return tuple(sorted(new_a.elements(), reverse=True)), tuple(sorted(new_b.elements(), reverse=True))
-
-
-def local_search(bins: Counter, capacity: int, tries: int = 20_000, longest: int = 40) -> Counter:
-    """Exchanges between underfull bins until none helps, the volume bound is met, or `tries` pairs of patterns were looked at.
-
-    Equal bins change together: all copies that two patterns have between them.
+class _Loose:
+    """The bins with room, looked up by a length that they hold and their room."""
+
+    def __init__(self, bins: Counter, capacity: int):
+        self.bins, self.capacity = bins, capacity
+        self.lengths = np.array([0, *sorted({x for p in bins for x in p})], np.int64)  # 0: nothing comes back
+        self.row = {int(x): i for i, x in enumerate(self.lengths)}
+        shape = len(self.lengths), capacity + 1
+        self.patterns: dict[tuple[int, int], dict[tuple, None]] = {}
+        self.below = np.zeros(shape, np.int32)  # the largest room up to this one, 0 if there is none
+        self.above = np.full(shape, capacity + 1, np.int32)  # the smallest room from this one on
+        self.held = np.zeros(shape, bool)
+        self.of = np.arange(capacity + 1, dtype=np.int32)
+        for p in bins:
+            self._hold(p)
+        for i in range(len(self.lengths)):
+            self._look_up(i)
+
+    def _rows(self, pattern: tuple) -> list[int]:
+        return [0, *(self.row[x] for x in dict.fromkeys(pattern))]
+
+    def _hold(self, pattern: tuple) -> list[int]:
+        room = self.capacity - sum(pattern)
+        new = []
+        for i in self._rows(pattern) if room else ():
+            if (i, room) not in self.patterns:
+                self.patterns[i, room] = {}
+                self.held[i, room] = True
+                new.append(i)
+            self.patterns[i, room][pattern] = None
+        return new
+
+    def _look_up(self, i: int) -> None:
+        self.below[i] = np.maximum.accumulate(np.where(self.held[i], self.of, 0))
+        self.above[i] = np.minimum.accumulate(np.where(self.held[i], self.of, self.capacity + 1)[::-1])[::-1]
+
+    def add(self, pattern: tuple, n: int) -> None:
+        """n more bins (fewer, below 0) of this pattern."""
+        had = self.bins[pattern]
+        self.bins[pattern] = had + n
+        if not had + n or not pattern:
+            del self.bins[pattern]
+        changed = []
+        if pattern and not had:
+            changed = self._hold(pattern)
+        elif not had + n and (room := self.capacity - sum(pattern)):
+            for i in self._rows(pattern):
+                del self.patterns[i, room][pattern]
+                if not self.patterns[i, room]:
+                    del self.patterns[i, room]
+                    self.held[i, room] = False
+                    changed.append(i)
+        for i in changed:
+            self._look_up(i)
+
+    def best(self, a: tuple) -> tuple[tuple, tuple, tuple] | None:
+        """A bin at least as full as a, and both after the change with the largest gain in squared fill, if there is one."""
+        room = self.capacity - sum(a)
+        most = self.below[:, room].copy()
+        alone = self.bins[a] == 1
+        if alone:
+            for i in self._rows(a):
+                if len(self.patterns[i, room]) == 1:
+                    most[i] = self.below[i, room - 1]
+        outs: dict[int, tuple] = {}
+        kinds = Counter(a)
+        for x in kinds:
+            outs[x] = (x,)
+        for x, y in combinations(kinds, 2):
+            outs.setdefault(x + y, (x, y))
+        for x, n in kinds.items():
+            if n > 1:
+                outs.setdefault(2 * x, (x, x))
+        out = np.array(sorted(outs), np.int64)
+        reach = np.maximum.accumulate(np.where(most > 0, self.lengths + most, 0))
+        out = out[reach[np.searchsorted(self.lengths, out) - 1] >= out]
+        if not len(out):
+            return None
+        more = out[:, None] - self.lengths[None]
+        at, back = np.nonzero((more > 0) & (more <= most[None]))
+        more = more[at, back]
+        rooms = self.above[back, more]
+        k = int(np.argmax(more * (room - rooms + more)))
+        b = next(p for p in self.patterns[int(back[k]), int(rooms[k])] if not alone or p != a)
+        gone, come = Counter(outs[int(out[at[k]])]), Counter([int(self.lengths[back[k]])] if back[k] else [])
+        new_a, new_b = Counter(a), Counter(b)
+        new_a.subtract(gone), new_b.subtract(come)
+        new_a.update(come), new_b.update(gone)
+        return b, tuple(sorted(new_a.elements(), reverse=True)), tuple(sorted(new_b.elements(), reverse=True))
+
+
+def local_search(bins: Counter, capacity: int) -> Counter:
+    """Exchanges between underfull bins until a pass over all of them finds none that helps, or the volume bound is met.
+
+    Equal bins change together: all copies that two patterns have between them. Every change raises the
+    sum of squared fills, a whole number with a bound, so the search ends.
     """
     bins = Counter(bins)
     total = sum(sum(p) * n for p, n in bins.items())
-    least = -(-total // capacity)
-    while sum(bins.values()) > least and tries > 0:
-        loose = sorted((p for p in bins if sum(p) < capacity and len(p) <= longest), key=sum)
-        for i, a in enumerate(loose[:50]):
-            change = None
-            for b in reversed(loose[i:]):
-                if a is b and bins[a] < 2:
-                    continue
-                tries -= 1
-                if change := _better(a, b, capacity):
-                    break
-                if tries <= 0:
-                    break
-            if change or tries <= 0:
-                break
-        else:
-            change = None
-        if not change:
-            break
-        n = bins[a] // 2 if a == b else min(bins[a], bins[b])
-        for p, k in ((a, -n), (b, -n), (change[0], n), (change[1], n)):
-            bins[p] += k
-            if not bins[p] or not p:
-                del bins[p]
+    least, used = -(-total // capacity), sum(bins.values())
+    if used <= least:
+        return bins
+    loose, changed = _Loose(bins, capacity), True
+    while changed:
+        changed = False
+        for a in sorted((p for p in bins if sum(p) < capacity), key=lambda p: (sum(p), p)):
+            while a in bins and (change := loose.best(a)):
+                b, new_a, new_b = change
+                n = bins[a] // 2 if a == b else min(bins[a], bins[b])
+                loose.add(a, -n), loose.add(b, -n), loose.add(new_a, n), loose.add(new_b, n)
+                changed = True
+                if not new_a:
+                    used -= n
+                    if used <= least:
+                        return bins
     return bins
 
 
