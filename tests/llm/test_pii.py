@@ -1,7 +1,7 @@
 import hashlib
 
 from tests.llm.helpers import docs, empty, rows
-from tilth.llm.pii import added_spans, base_spans, find, luhn, made_up, redact, trained
+from tilth.llm.pii import Document, added_spans, base_spans, beliefs, find, luhn, made_up, redact, trained
 
 
 def test_base_spans():
@@ -52,3 +52,27 @@ def test_query_and_redaction(spark):
 
 def test_empty(spark):
     assert find(empty(spark)).collect() == []
+
+
+def test_secrets_of_letters_alone():
+    field, prose = trained(), "plain prose without any of it. " * 40
+    for lead, key in (("password: ", "correcthorsebattery"), ('token = "', "abcDEFghiJKLmnoPQRst")):
+        text = f"{prose}{lead}{key}\" {prose}say {key} there. {prose}"
+        assert [(text[s:e], k) for s, e, k in added_spans(text, [], field)] == [(key, "secret")] * 2
+    assert added_spans("Die Donaudampfschifffahrtsgesellschaft und internationalisation, key: remember, secret: nothing. " + prose, [], field) == []
+
+
+def test_one_plain_place_tells_all_others():
+    field, key = trained(), "correcthorsebattery"
+    text = f"password: {key} " + "".join(f"unsaid words go here and on to {key} there. " for _ in range(60))
+    assert [text[s:e] for s, e, _ in added_spans(text, [], field)] == [key] * 61
+
+
+def test_tokens_left_out_are_other():
+    field = trained()
+    for text, _ in made_up(60, 78):
+        doc = Document(text, base_spans(text))
+        at, some = beliefs(doc, field, field.look(doc.words))
+        every = beliefs(doc, field)[1]
+        said = {i: int(b.argmax()) * (b.max() >= 0.9) for i, b in zip(at, some, strict=True)}
+        assert [said.get(i, 0) for i in range(len(doc.words))] == [int(b.argmax()) * (b.max() >= 0.9) for b in every]

@@ -1,13 +1,19 @@
 """Personal data: plain patterns, and a skip-chain conditional random field that adds to them.
 
-The field labels tokens near digits, @ and = signs. Neighbours are joined in a chain; tokens that
-repeat, or hold the same letters and digits, are joined to their last occurrence however far back, so
-the number of edges is linear in the tokens. Loopy message passing over both kinds makes a token that
-is plainly a secret in one place one in all places of the document.
+The field labels every token of a document. Neighbours are joined in a chain; tokens that repeat, or
+hold the same letters and digits, are joined to one hub however far apart, so the number of edges is
+linear in the tokens. Loopy message passing over both kinds makes a token that is plainly a secret in
+one place one in all places of the document: a hub hears the tokens that a telling word stands right
+before or a plain pattern matches (all, where there is none such), and tells all; bare repeats are not
+evidence against it, however many.
+
+Most tokens are other whatever their neighbours say: their own score is beyond what the weights between
+neighbours can turn. Messages go only through the rest, all tokens that repeat one of them, and a few
+tokens about each; a hub whose tokens are all beyond that bound can't turn any of them either.
 
 The weights are trained here on sentences that this module makes up: entities in telling contexts and
 in none, and numbers of other kinds. The chain's weights maximise the conditional likelihood; the
-weight of the skip edges is the log odds of agreement in those documents (piecewise training).
+weight of the hubs' edges is the log odds of agreement in those documents (piecewise training).
 """
 
 from __future__ import annotations
@@ -15,6 +21,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import cache
 
@@ -35,8 +42,9 @@ PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
 DIGIT = re.compile("[0-9]")
 TOKEN = re.compile(r"[^\s=:\"'`,;()<>\[\]{}|]+")
-TRIGGER = re.compile("[0-9@=]")
-REACH = 64
+LOOK = re.compile(r"[0-9@+]")  # what a plain pattern matches has one of these in each token
+ABOUT = 6
+EDGE = ".,!?*_-#$%&~/\\"
 CONTEXT = ("password", "passwd", "pwd", "token", "secret", "apikey", "api_key", "key", "phone", "tel", "call", "mobile", "fax", "mail", "email", "card", "visa", "ip", "server", "host", "version", "page", "chapter", "year", "license", "isbn", "order", "commit", "room", "section")
 
 
@@ -65,31 +73,9 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return sorted(found, key=lambda s: (s[0], KINDS.index(s[2]), s[1]))
 
 
-def windows(text: str) -> list[tuple[int, int]]:
-    """Stretches about the triggers, merged where they touch and widened to whole tokens."""
-    out: list[list[int]] = []
-    for m in TRIGGER.finditer(text):
-        start, end = max(0, m.start() - REACH), m.end() + REACH
-        if out and start <= out[-1][1]:
-            out[-1][1] = end
-        else:
-            out.append([start, end])
-    wide = []
-    for start, end in out:
-        while start > 0 and not text[start - 1].isspace() and start > (wide[-1][1] if wide else 0):
-            start -= 1
-        while end < len(text) and not text[end].isspace():
-            end += 1
-        if wide and start <= wide[-1][1]:
-            wide[-1] = (wide[-1][0], min(end, len(text)))
-        else:
-            wide.append((start, min(end, len(text))))
-    return wide
-
-
 def features(token: str, before: list[str], after: str, glued: str, base: str) -> list[str]:
     """What the field sees of a token: its shape, its neighbours' words, what joins it to the one before, a plain match."""
-    core = token.strip(".,!?*_-#$%&~/\\")
+    core = token.strip(EDGE)
     digits, letters = sum(c.isdigit() for c in core), sum(c.isalpha() for c in core)
     shape = re.sub("9+", "9", re.sub("a+", "a", re.sub("A+", "A", "".join("9" if c.isdigit() else "A" if c.isupper() else "a" if c.isalpha() else c for c in core))))
     kind = "word" if not digits else "number" if not letters else "mixed"
@@ -113,51 +99,125 @@ def features(token: str, before: list[str], after: str, glued: str, base: str) -
     if before and before[-1].lower().strip(".") in CONTEXT:
         f.append(f"prev={before[-1].lower().strip('.')}&{kind}")
         if "=" in glued or ":" in glued:
-            f.append(f"set={before[-1].lower().strip('.')}&{kind}")
+            f += [f"set={before[-1].lower().strip('.')}&{kind}", f"set={before[-1].lower().strip('.')}&{kind}&long={len(core) >= 14}"]
     if after.lower().strip(".") in CONTEXT:
         f.append(f"next={after.lower().strip('.')}&{kind}")
     return f
 
 
-def graph(text: str, base: list[tuple[int, int, str]]):
-    """Tokens (start, end) of the windows, their features, chain edges and skip edges."""
-    spans, feats, chain, skip, last = [], [], [], [], {}
-    at = 0
-    for start, end in windows(text):
-        found = [(m.start(), m.end()) for m in TOKEN.finditer(text, start, end)]
-        words = [text[a:b] for a, b in found]
-        for i, (a, b) in enumerate(found):
-            while at < len(base) and base[at][1] <= a:
-                at += 1
-            kind = next((k for s, e, k in base[at : at + 8] if s < b and a < e), "none")
-            n = len(spans)
-            feats.append(features(words[i], words[max(0, i - 3) : i], words[i + 1] if i + 1 < len(words) else "", text[found[i - 1][1] : a] if i else "", kind))
-            spans.append((a, b))
-            if i:
-                chain.append((n - 1, n))
-            key = "".join(c for c in words[i].lower() if c.isalnum())
-            if any("0" <= c <= "9" for c in key) and len(key) >= 4:
-                if key in last:
-                    skip.append((last[key], n))
-                last[key] = n
-    return spans, feats, chain, skip
+def key_of(word: str) -> str:
+    """What repeats of a token have in common; empty for short ones, which are joined to nothing."""
+    key = word.lower()
+    if not key.isalnum():
+        key = "".join(filter(str.isalnum, key))
+    return key if len(key) >= 4 else ""
+
+
+class Document:
+    """A text's tokens, and what the field sees of each."""
+
+    def __init__(self, text: str, base: list[tuple[int, int, str]]):
+        self.text, self.base = text, base
+        self.spans = [m.span() for m in TOKEN.finditer(text)]
+        self.words = [text[a:b] for a, b in self.spans]
+        self.starts = [s for s, _, _ in base]
+        self.longest = max((e - s for s, e, _ in base), default=0)
+
+    def base_of(self, a: int, b: int) -> str:
+        if not self.base:
+            return "none"
+        near = range(bisect_left(self.starts, a - self.longest), bisect_left(self.starts, b))
+        return next((self.base[j][2] for j in near if a < self.base[j][1]), "none")
+
+    def seen(self, i: int) -> tuple[str, list[str], str, str, str]:
+        """The arguments of `features` for token i."""
+        a, b = self.spans[i]
+        after = self.words[i + 1] if i + 1 < len(self.words) else ""
+        glued = self.text[self.spans[i - 1][1] : a] if i else ""
+        return self.words[i], self.words[max(0, i - 3) : i], after, glued, self.base_of(a, b)
+
+
+def _is_context(word: str) -> bool:
+    return word.lower().strip(".") in CONTEXT
 
 
 class Field:
-    """Weights by feature and label, by pairs of neighbours' labels, and for agreement over a skip edge."""
+    """Weights by feature and label, by pairs of neighbours' labels, and for agreement over a hub."""
 
     def __init__(self, index: dict[str, int], unary: np.ndarray, pair: np.ndarray, agree: float):
         self.index, self.unary, self.pair, self.agree = index, unary, pair, agree
-
-    def scores(self, feats: list[list[str]]) -> np.ndarray:
-        out = np.zeros((len(feats), len(LABELS)))
-        for i, f in enumerate(feats):
-            out[i] = self.unary[[self.index[x] for x in f if x in self.index]].sum(axis=0)
-        return out
-
-    def marginals(self, feats, chain, skip, sweeps: int = 30, damp: float = 0.3) -> np.ndarray:
-        """Beliefs by loopy sum-product over chain and skip edges; exact where there are no skip edges and sweeps cover the chain."""
-        local = self.scores(feats)
+        # the most that both neighbours together can say for a label against other
+        self.turn = (pair - pair[:, :1]).max(axis=0) + (pair - pair[:1]).max(axis=1)
+        self.flags: dict[str, int] = {}
+        self.long: dict[int, bool] = {}
+        self.known: dict[tuple, np.ndarray] = {}
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"flags": {}, "known": {}}
+
+    def local(self, word: str, before: list[str], after: str, glued: str, base: str) -> np.ndarray:
+        """A token's own score by label; remembered by all that the features take from its neighbours."""
+        near = [_is_context(w) for w in before]
+        last = before[len(near) - 1 - near[::-1].index(True)] if any(near) else ""
+        prev = last if near and near[-1] else ""
+        joined = "=" if prev and ("=" in glued or ":" in glued) else ""
+        key = (word, last.lower().strip("."), bool(prev), joined, after.lower().strip(".") if _is_context(after) else "", base)
+        if key not in self.known:
+            if len(self.known) >= 50_000:
+                self.known.clear()
+            f = features(word, before, after, glued, base)
+            score = self.unary[[self.index[x] for x in f if x in self.index]].sum(axis=0)
+            if len(word) > 200:
+                return score
+            self.known[key] = score
+        return self.known[key]
+
+    def may_turn(self, local: np.ndarray) -> bool:
+        """Whether neighbours could make the token anything but other."""
+        return bool((local + self.turn - local[0])[1:].max() > 0)
+
+    def may_turn_between(self, before: np.ndarray, local: np.ndarray, after: np.ndarray) -> np.ndarray:
+        """The same for many tokens, with the most that the neighbours with these scores (against other) can say."""
+        forward, backward = (self.pair - self.pair[:, :1]).max(axis=0), (self.pair - self.pair[:1]).max(axis=1)
+        left = _logsumexp((before + forward * (np.arange(len(LABELS)) > 0))[:, :, None] + self.pair[None], 1) - self.pair[0, 0]
+        right = _logsumexp((after + backward * (np.arange(len(LABELS)) > 0))[:, :, None] + self.pair.T[None], 1) - self.pair[0, 0]
+        most = local + np.minimum(left, forward) + np.minimum(right, backward)
+        return most[:, 1:].max(axis=1) > 0
+
+    def look(self, words: list[str]) -> np.ndarray:
+        """Which tokens may turn by their own looks, by a word of CONTEXT near them, or by a plain match; all others can't."""
+        fresh = {w for w in set(words) if w not in self.flags}
+        if len(self.flags) + len(fresh) > 100_000:
+            self.flags.clear()
+            fresh = set(words)
+        for w in fresh:
+            core = w.strip(EDGE)
+            if core.isalpha() and not LOOK.search(w):  # only its length counts then
+                n = min(len(core), 40)
+                if n not in self.long:
+                    self.long[n] = self.may_turn(self.local("a" * n, [], "", "", "none"))
+                self.flags[w] = self.long[n] + 2 * _is_context(w)
+                continue
+            self.flags[w] = bool(LOOK.search(w) or self.may_turn(self.local(w, [], "", "", "none"))) + 2 * _is_context(w)
+        flags = np.frombuffer(bytes(map(self.flags.__getitem__, words)), np.uint8)
+        for w in fresh:
+            if len(w) > 200:
+                del self.flags[w]
+        look, context = (flags & 1).astype(bool), flags > 1
+        if context.any():
+            look[:-1] |= context[1:]
+            for k in (1, 2, 3):
+                look[k:] |= context[:-k]
+        return look
+
+    def marginals(self, local: np.ndarray, chain: list[tuple[int, int]], groups: list[list[int]], heard: list[list[int]], damp: float = 0.3) -> np.ndarray:
+        """Beliefs by loopy sum-product over the chain and a hub for each group, until messages settle.
+
+        A hub hears those of its group in `heard`. From the 200th sweep on steps shrink, so that messages which go round in a circle end too.
+        """
+        n = len(local)
+        skip = [(i, n + h) for h, g in enumerate(groups) for i in g]
+        local = np.concatenate([local, np.zeros((len(groups), len(LABELS)))])
         edges = np.array([*chain, *skip], np.int64).reshape(-1, 2)
         if not len(edges):
             return _softmax(local)
@@ -166,20 +226,25 @@ class Field:
         source, target = np.concatenate([edges[:, 0], edges[:, 1]]), np.concatenate([edges[:, 1], edges[:, 0]])
         both = np.concatenate([bond, bond.transpose(0, 2, 1)])
         back = np.concatenate([np.arange(len(edges), 2 * len(edges)), np.arange(len(edges))])
+        mute = np.zeros(len(source), bool)
+        mute[len(chain) : len(edges)] = [i not in h for g, h in zip(groups, map(set, heard), strict=True) for i in g]
         sent = np.zeros((len(source), len(LABELS)))
-        for _ in range(sweeps):
+        step, sweep, moved = 1 - damp, 0, 1.0
+        while moved >= 1e-4:
             belief = local.copy()
             np.add.at(belief, target, sent)
             given = belief[source] - sent[back]
             fresh = _logsumexp(given[:, :, None] + both, 1)
             fresh -= fresh.max(axis=1, keepdims=True)
-            moved = np.abs(fresh - sent).max()
-            sent = damp * sent + (1 - damp) * fresh
-            if moved < 1e-4:
-                break
+            fresh[mute] = 0
+            moved = step * np.abs(fresh - sent).max()
+            sent = (1 - step) * sent + step * fresh
+            sweep += 1
+            if sweep >= 200:
+                step *= 0.97
         belief = local.copy()
         np.add.at(belief, target, sent)
-        return _softmax(belief)
+        return _softmax(belief[:n])
 
 
 def _logsumexp(x: np.ndarray, axis: int) -> np.ndarray:
@@ -205,7 +270,7 @@ def made_up(n: int, seed: int) -> list[tuple[str, list[tuple[int, int, str]]]]:
         return next(d + c for c in "0123456789" if luhn(d + c))
 
     def secret() -> tuple[str, str, str]:
-        value = r.choice([lambda: "AK" + some("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", 18), lambda: some("0123456789abcdef", r.choice([18, 20, 32, 40])), lambda: some("abcdefghijkmnpqrstuvwxyzABCDEFGHJKLMNPQRSTUVWXYZ23456789", r.randint(16, 40))])()
+        value = r.choice([lambda: "AK" + some("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", 18), lambda: some("0123456789abcdef", r.choice([18, 20, 32, 40])), lambda: some("abcdefghijkmnpqrstuvwxyzABCDEFGHJKLMNPQRSTUVWXYZ23456789", r.randint(16, 40)), lambda: some(r.choice(["abcdefghijklmnopqrstuvwxyz", "abcdefghijkmnpqrstuvwxyzABCDEFGHJKLMNPQRSTUVWXYZ"]), r.randint(16, 32))])()
         name = r.choice(["password", "passwd", "pwd", "token", "secret", "api_key", "key"])
         return r.choice([(f"{name}=", value, ""), (f"{name} = \"", value, '"'), (f"{name}: ", value, "")] + [("", value, "")] * value.startswith("AK"))
 
@@ -217,8 +282,12 @@ def made_up(n: int, seed: int) -> list[tuple[str, list[tuple[int, int, str]]]]:
         value = {"email": lambda: f"{word()}.{num(2)}@{word()}{num(1)}.example.org", "ip": lambda: ".".join(str(r.randint(1, 254)) for _ in range(4)), "card": card, "phone": lambda: r.choice([f"+{r.randint(1, 98)} ({num(3)}) 555-{num(4)}", f"+{r.randint(1, 98)} {num(3)} {num(3)} {num(4)}"])}[kind]()
         return lead, value, "", kind
 
+    def long() -> str:
+        one = "".join(r.choices(syllables, k=r.randint(5, 14)))
+        return r.choice([one, one, one.capitalize(), one.upper()]) + r.choice(["", "", "!!"])
+
     def plain() -> str:
-        return r.choice([lambda: f"version {r.randint(1, 9)}.{r.randint(0, 9)}", lambda: f"{r.randint(1, 9)}.{r.randint(0, 20)}.{r.randint(0, 20)}", lambda: str(r.randint(1900, 2035)), lambda: f"{r.randint(1, 28)}.{r.randint(1, 12)}.{r.randint(1990, 2030)}", lambda: f"20{num(2)}-0{r.randint(1, 9)}-1{num(1)}", lambda: f"${num(2)}.{num(2)}", lambda: f"page {num(3)}", lambda: num(r.randint(1, 9)), lambda: f"room {word()}{num(2)}", lambda: f"{word()}={num(2)}", lambda: f"order {num(12)}", lambda: f"{num(2)}%", lambda: f"{num(1)}:{num(2)}", lambda: f"{word()}-{num(1)}", lambda: f"isbn {num(13)}", lambda: f"x{num(1)} = y{num(1)}", lambda: f"{word()}@{word()}", lambda: f"BY-NC {num(1)}.0."])()
+        return r.choice([lambda: f"version {r.randint(1, 9)}.{r.randint(0, 9)}", lambda: f"{r.randint(1, 9)}.{r.randint(0, 20)}.{r.randint(0, 20)}", lambda: str(r.randint(1900, 2035)), lambda: f"{r.randint(1, 28)}.{r.randint(1, 12)}.{r.randint(1990, 2030)}", lambda: f"20{num(2)}-0{r.randint(1, 9)}-1{num(1)}", lambda: f"${num(2)}.{num(2)}", lambda: f"page {num(3)}", lambda: num(r.randint(1, 9)), lambda: f"room {word()}{num(2)}", lambda: f"{word()}={num(2)}", lambda: f"order {num(12)}", lambda: f"{num(2)}%", lambda: f"{num(1)}:{num(2)}", lambda: f"{word()}-{num(1)}", lambda: f"isbn {num(13)}", lambda: f"x{num(1)} = y{num(1)}", lambda: f"{word()}@{word()}", lambda: f"BY-NC {num(1)}.0.", lambda: f"{r.choice(CONTEXT)}{r.choice([' ', ': ', ' = '])}{word()}", long])()
 
     out = []
     for _ in range(n):
@@ -247,25 +316,30 @@ def trained(documents: int = 700, rounds: int = 12, seed: int = 11) -> Field:
     rows = []
     same = pairs = 0
     for text, spans in made_up(documents, seed):
-        tokens, feats, chain, skip = graph(text, base_spans(text))
-        if not tokens:
+        doc = Document(text, base_spans(text))
+        if not doc.words:
             continue
-        gold = np.array([next((LABELS.index(k) for s, e, k in spans if s < b and a < e), 0) for a, b in tokens])
+        feats = [features(*doc.seen(i)) for i in range(len(doc.words))]
+        gold = np.array([next((LABELS.index(k) for s, e, k in spans if s < b and a < e), 0) for a, b in doc.spans])
         for f in feats:
             for x in f:
                 index.setdefault(x, len(index))
-        rows.append(([[index[x] for x in f] for f in feats], chain, gold))
-        pairs += len(skip)
-        same += sum(gold[a] == gold[b] for a, b in skip)
+        rows.append(([[index[x] for x in f] for f in feats], gold))
+        last: dict[str, int] = {}
+        for i, key in enumerate(map(key_of, doc.words)):
+            if key in last:
+                pairs += 1
+                same += bool(gold[last[key]] == gold[i])
+            if DIGIT.search(key):
+                last[key] = i
     unary, pair = np.zeros((len(index), len(LABELS))), np.zeros((len(LABELS), len(LABELS)))
     step_u, step_p = np.full_like(unary, 1e-6), np.full_like(pair, 1e-6)
     rng = np.random.default_rng(seed)
     for _ in range(rounds):
         for k in rng.permutation(len(rows)):
-            feats, chain, gold = rows[k]
+            feats, gold = rows[k]
             local = np.array([unary[f].sum(axis=0) for f in feats])
-            joined = np.zeros(len(gold), bool)
-            joined[[b for _, b in chain]] = True
+            joined = np.arange(len(gold)) > 0
             one, two = _chain_marginals(local, joined, pair)
             one[np.arange(len(gold)), gold] -= 1
             grad_u = np.zeros_like(unary)
@@ -273,8 +347,7 @@ def trained(documents: int = 700, rounds: int = 12, seed: int = 11) -> Field:
                 np.add.at(grad_u, f, g)
             grad_u += 1e-3 * unary
             grad_p = two.sum(axis=0) + 1e-3 * pair
-            for a, b in chain:
-                grad_p[gold[a], gold[b]] -= 1
+            np.add.at(grad_p, (gold[:-1], gold[1:]), -1)
             step_u += grad_u**2
             step_p += grad_p**2
             unary -= 0.3 * grad_u / np.sqrt(step_u)
@@ -301,24 +374,82 @@ def _chain_marginals(local: np.ndarray, joined: np.ndarray, pair: np.ndarray) ->
     return _softmax(ahead + behind), np.array(two).reshape(-1, len(LABELS), len(LABELS))
 
 
+def _turning(doc: Document, field: Field, maybe: list[int]) -> tuple[list[int], set[str]]:
+    """Those of the tokens that their own neighbours may turn, and their keys; a neighbour that has one of the keys may itself be turned by its hub."""
+    n, words = len(doc.words), doc.words
+    at = sorted({j for i in maybe for j in (i - 1, i, i + 1) if 0 <= j < n})
+    place = {j: k for k, j in enumerate(at)}
+    own = np.array([field.local(*doc.seen(j)) for j in at] + [np.where(np.arange(len(LABELS)) > 0, -np.inf, 0)])  # the last: no neighbour
+    own -= own[:, :1]
+    key = [key_of(words[j]) for j in at]
+    three = np.array([[place.get(i + d, len(at)) for d in (-1, 0, 1)] for i in maybe])
+    keys: set[str] = set()
+    while True:
+        hub = np.array([k in keys for k in key] + [False])[:, None] * (np.arange(len(LABELS)) > 0) * field.agree
+        most = own + hub
+        turns = field.may_turn_between(most[three[:, 0]], own[three[:, 1]], most[three[:, 2]])
+        turning = [i for i, t in zip(maybe, turns, strict=True) if t]
+        more = {k for i in turning if (k := key_of(words[i]))}
+        if more <= keys:
+            return turning, keys
+        keys |= more
+
+
+def beliefs(doc: Document, field: Field, look: np.ndarray | None = None) -> tuple[list[int], np.ndarray]:
+    """Tokens that messages go through, and what is believed of them; all other tokens are other. Without `look`, all tokens."""
+    words, n = doc.words, len(doc.words)
+    if look is None:
+        found, keys, at = {}, {key for w in words if (key := key_of(w))}, list(range(n))
+    else:
+        found = {int(i): field.local(*doc.seen(i)) for i in np.nonzero(look)[0]}
+        maybe = [i for i, score in found.items() if field.may_turn(score)]
+        turning, keys = _turning(doc, field, maybe) if maybe else ([], set())
+    same = {w: key for w in set(words) if (key := key_of(w)) in keys} if keys else {}
+    groups: dict[str, list[int]] = {}
+    for i, w in enumerate(words) if same else ():
+        if w in same:
+            groups.setdefault(same[w], []).append(i)
+    if look is not None:
+        near = np.zeros(n + 1, np.int64)
+        for i in {*turning, *(i for g in groups.values() for i in g)}:
+            near[max(0, i - ABOUT)] += 1
+            near[min(n, i + ABOUT + 1)] -= 1
+        at = np.nonzero(np.cumsum(near[:-1]))[0].tolist()
+    if not at:
+        return [], np.zeros((0, len(LABELS)))
+    local = np.array([found[i] if i in found else field.local(*doc.seen(i)) for i in at])
+    place = {i: k for k, i in enumerate(at)}
+    chain = [(k - 1, k) for k, i in enumerate(at) if i - 1 in place]
+    for k, i in enumerate(at):  # tokens beyond a stretch are other
+        if i and i - 1 not in place:
+            local[k] += field.pair[0]
+        if i + 1 < n and i + 1 not in place:
+            local[k] += field.pair[:, 0]
+    joined = [g for g in groups.values() if len(g) > 1]
+    telling = [[i for i in g if (i and _is_context(words[i - 1])) or doc.base_of(*doc.spans[i]) != "none"] or g for g in joined]
+    return at, field.marginals(local, chain, *([[place[i] for i in g] for g in gs] for gs in (joined, telling)))
+
+
 def added_spans(text: str, base: list[tuple[int, int, str]], field: Field, least: float = 0.9) -> list[tuple[int, int, str]]:
-    """What the field finds beside the plain spans: runs of tokens with one label, each believed by `least` or more."""
-    if not TRIGGER.search(text):
+    """What the field finds beside the plain spans: runs of tokens with one label, each believed by `least` or more, or most likely and so believed of the same token elsewhere."""
+    look = field.look(TOKEN.findall(text))
+    if not look.any():
         return []
-    tokens, feats, chain, skip = graph(text, base)
-    if not tokens:
+    doc = Document(text, base)
+    at, belief = beliefs(doc, field, look)
+    if not at:
         return []
-    belief = field.marginals(feats, chain, skip)
-    label = np.where(belief.max(axis=1) >= least, belief.argmax(axis=1), 0)
-    joined = {b for _, b in chain}
+    label, sure = belief.argmax(axis=1), belief.max(axis=1) >= least
+    plain = {(key_of(doc.words[i]), k) for i, k, s in zip(at, label, sure, strict=True) if s and k}
+    label = [k if k and (s or (key := key_of(doc.words[i])) and (key, k) in plain) else 0 for i, k, s in zip(at, label, sure, strict=True)]
     runs: list[list] = []
-    for i, k in enumerate(label):
-        a, b = tokens[i]
+    for i, k in zip(at, label, strict=True):
+        a, b = doc.spans[i]
         while b > a and text[b - 1] in ".,!?*":
             b -= 1
-        if not k or any(s < b and a < e for s, e, _ in base):
+        if not k or doc.base_of(a, b) != "none":
             continue
-        if runs and runs[-1][3] == i - 1 and runs[-1][2] == k and i in joined and LABELS[k] == "phone":
+        if runs and runs[-1][3] == i - 1 and runs[-1][2] == k and LABELS[k] == "phone":
             runs[-1][1], runs[-1][3] = b, i
         elif b > a:
             runs.append([a, b, k, i])
