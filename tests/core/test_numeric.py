@@ -8,7 +8,7 @@ import pytest
 from tilth.functions import reml, reports, zoning
 from tilth.functions.distributions import adjust, f_tail, t_quantile, t_tail, tukey_tail
 from tilth.functions.formulas import parse_residual
-from tilth.operators import clean
+from tilth.operators import clean, trials
 from tilth.operators.kriging import krige
 from tilth.operators.simulate import surface
 from tilth.operators.variogram import Variogram
@@ -204,3 +204,11 @@ def test_surface_has_its_variance_and_range():
     f = np.array([surface(np.random.default_rng(s), 40, 40, 12.0) for s in range(60)])
     assert f.var() == pytest.approx(1, abs=0.15)
     assert np.mean(f[:, :-4] * f[:, 4:]) == pytest.approx(math.exp(-1), abs=0.1)
+
+
+def test_pseudo_environments_less_treatments(spark):
+    rows = [(1, r, c, "ab"[c > 6], 10.0 * (c > 6) + 0.1 * ((r * 7 + c * 3) % 5)) for r in range(1, 9) for c in range(1, 13)]
+    data = spark.createDataFrame(rows, "trial int, row int, col int, treat string, y double")
+    zones = lambda **options: [r["zone"] for r in trials.partition_pseudo_env(data, "trial", "y", "col", max_zones=4, min_width=2.0, **options).orderBy("along").collect()]
+    assert zones() != [1] * 12 and zones(treat="treat") == [1] * 12
+    assert zones(method="equal", n_zones=3) == [1] * 4 + [2] * 4 + [3] * 4

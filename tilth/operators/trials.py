@@ -86,14 +86,32 @@ def partition_paddock(cells: DataFrame, trial: str, covariates: list[str], metho
     return per_trial(cells, trial, "row int, col int, zone int", work)
 
 
-def partition_pseudo_env(data: DataFrame, trial: str, response: str, along: str, n_zones: int | None = None, max_zones: int = 8, min_width: float | None = None) -> DataFrame:
-    """along and zone for each trial: exact segments of the profile mean, their number by BIC unless given."""
-    profile = data.dropna(subset=[response, along]).groupBy(trial, F.col(along).alias("along")).agg(F.avg(response).alias("mean"), F.count(response).alias("n"))
+def _residual(g: pd.DataFrame, response: str, factors: list[str]) -> np.ndarray:
+    """The response less its least-squares fit on the factors' main effects."""
+    x = np.hstack([np.ones((len(g), 1)), *(pd.get_dummies(g[f]).to_numpy(float) for f in factors)])
+    y = g[response].to_numpy(float)
+    return y - x @ np.linalg.lstsq(x, y, rcond=None)[0]
+
+
+def partition_pseudo_env(data: DataFrame, trial: str, response: str, along: str, n_zones: int | None = None, max_zones: int = 8, min_width: float | None = None, treat: str | None = None, block: str | None = None, method: str = "segment") -> DataFrame:
+    """along and zone for each trial, by the profile mean of the response less the effects of treat and block.
+
+    segment: exact segments, their number by BIC unless given; equal: n_zones slices of equal width.
+    """
+    factors = [f for f in (treat, block) if f]
+    require_columns(data, trial, response, along, *factors)
+    if method not in ("segment", "equal"):
+        raise ValueError(f"unknown method: {method}")
+    if method == "equal" and not n_zones:
+        raise ValueError("method 'equal' needs n_zones")
 
     def work(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values("along")
-        at, mean, n = g["along"].to_numpy(float), g["mean"].to_numpy(float), g["n"].to_numpy(float)
+        g = g.assign(value=_residual(g, response, factors)).groupby(along)["value"].agg(["mean", "size"]).sort_index()
+        at, mean, n = g.index.to_numpy(float), g["mean"].to_numpy(float), g["size"].to_numpy(float)
         spacing = float(np.median(np.diff(at))) if len(at) > 1 else 1.0
+        if method == "equal":
+            breaks = np.linspace(at[0] - spacing / 2, at[-1] + spacing / 2, n_zones + 1)
+            return pd.DataFrame({"along": at, "zone": np.searchsorted(breaks[1:-1], at, side="left").astype(int) + 1})
         width = min_width or zoning.profile_range(mean, spacing)
         least = max(1, int(np.ceil(width / spacing - 1e-9)))
         found = zoning.segment_profile(mean, n, n_zones or max_zones, min(least, len(at)))
@@ -101,4 +119,4 @@ def partition_pseudo_env(data: DataFrame, trial: str, response: str, along: str,
         zone = np.searchsorted(found[k - 1][1], np.arange(len(at)), side="right")
         return pd.DataFrame({"along": at, "zone": zone.astype(int)})
 
-    return per_trial(profile, trial, "along double, zone int", work)
+    return per_trial(data.dropna(subset=[response, along, *factors]).select(*dict.fromkeys([trial, response, along, *factors])), trial, "along double, zone int", work)

@@ -307,7 +307,7 @@ def partition_paddock(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register()
 def partition_pseudo_env(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return trials.partition_pseudo_env(_trial_cells(spark, sf_dir), "trial", "yield", "col", max_zones=4, min_width=2.0)
+    return trials.partition_pseudo_env(_trial_cells(spark, sf_dir), "trial", "yield", "col", max_zones=4, min_width=2.0, treat="treat")
 
 
 def _integration(g: pd.DataFrame) -> pd.DataFrame:
