@@ -5,14 +5,17 @@ import numpy as np
 import pandas as pd
 import pytest
 
+from tilth import queries
 from tilth.functions import reml, reports, zoning
 from tilth.functions.distributions import adjust, f_tail, t_quantile, t_tail, tukey_tail
 from tilth.functions.formulas import parse_residual
-from tilth.operators import clean, trials
+from tilth.operators import clean, counts, trials
 from tilth.operators.kriging import krige
 from tilth.operators.simulate import surface
 from tilth.operators.variogram import Variogram
 
+SF = "/root/testdata/sf0.001"
+
 
 def test_distributions():
     assert t_quantile(0.975, 10) == pytest.approx(2.228139, abs=1e-6)
@@ -212,3 +215,7 @@ def test_pseudo_environments_less_treatments(spark):
     zones = lambda **options: [r["zone"] for r in trials.partition_pseudo_env(data, "trial", "y", "col", max_zones=4, min_width=2.0, **options).orderBy("along").collect()]
     assert zones() != [1] * 12 and zones(treat="treat") == [1] * 12
     assert zones(method="equal", n_zones=3) == [1] * 4 + [2] * 4 + [3] * 4
+
+
+def test_count_precision_is_registered_in_full(spark):
+    assert queries.count_precision(spark, SF).collect() == counts.count_precision(spark, [4, 8, 16], n_sim=400).collect()

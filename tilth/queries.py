@@ -187,7 +187,7 @@ def analyse_strip_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register()
 def count_precision(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return counts.count_precision(spark, [4, 8, 16], n_sim=40)
+    return counts.count_precision(spark, [4, 8, 16])
 
 
 @register(
