@@ -1,3 +1,4 @@
+import json
 import math
 from itertools import combinations
 
@@ -219,3 +220,8 @@ def test_pseudo_environments_less_treatments(spark):
 
 def test_count_precision_is_registered_in_full(spark):
     assert queries.count_precision(spark, SF).collect() == counts.count_precision(spark, [4, 8, 16], n_sim=400).collect()
+
+
+def test_fit_is_registered_with_standard_errors(spark):
+    found = [se for r in queries.fit_ofe(spark, SF).collect() if r["varcomp"] for name, _, se in json.loads(r["varcomp"]) if name != "sigma2"]
+    assert found and any(not math.isnan(se) for se in found)

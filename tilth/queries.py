@@ -292,7 +292,7 @@ def _trial_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register()
 def fit_ofe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return trials.fit_trials(_trial_cells(spark, sf_dir), "trial", "yield ~ treat + speed", control=reml.Control(se=False))
+    return trials.fit_trials(_trial_cells(spark, sf_dir), "trial", "yield ~ treat + speed")
 
 
 @register()
