@@ -10,7 +10,7 @@ from tilth import queries
 from tilth.functions import reml, reports, zoning
 from tilth.functions.distributions import adjust, f_tail, t_quantile, t_tail, tukey_tail
 from tilth.functions.formulas import parse_residual
-from tilth.operators import clean, counts, trials
+from tilth.operators import clean, counts, maps, trials
 from tilth.operators.kriging import krige
 from tilth.operators.simulate import surface
 from tilth.operators.variogram import Variogram
@@ -225,3 +225,9 @@ def test_count_precision_is_registered_in_full(spark):
 def test_fit_is_registered_with_standard_errors(spark):
     found = [se for r in queries.fit_ofe(spark, SF).collect() if r["varcomp"] for name, _, se in json.loads(r["varcomp"]) if name != "sigma2"]
     assert found and any(not math.isnan(se) for se in found)
+
+
+def test_every_level_of_a_map_has_a_colour(spark):
+    cells = spark.createDataFrame([(float(i % 40), float(i // 40), f"level {i:04d}") for i in range(1200)] + [(0.0, 30.0, None)], "x double, y double, kind string")
+    fills = {r["value"]: r["fill"] for r in maps.ofe_map(cells, "kind").collect()}
+    assert fills == {f"level {i:04d}": maps.CATEGORIES[i % 8] for i in range(1200)} | {None: None}

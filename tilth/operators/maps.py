@@ -55,8 +55,10 @@ def ofe_map(data: DataFrame, value: str, type: str = "auto", n: int = 64) -> Dat
     half = (min(sizes) if sizes else 1.0) / 2
     x, y = number(xy[0]), number(xy[1])
     if type == "categorical":
-        levels = sorted(str(r[0]) for r in data.select(F.col(value).cast("string")).dropna().distinct().limit(1000).collect())  # a key can't show more
-        fill = F.create_map(*[F.lit(s) for v, c in zip(levels, ofe_palette("categorical", len(levels)), strict=True) for s in (v, c)])[F.col(value).cast("string")] if levels else F.lit(None).cast("string")
+        text = F.col(value).cast("string")
+        levels = data.select(text.alias("_level")).dropna().distinct().withColumn("_rank", F.row_number().over(Window.orderBy("_level")) - 1)
+        data = data.join(levels, text == F.col("_level"), "left")
+        fill = F.get(F.array(*[F.lit(c) for c in CATEGORIES]), F.col("_rank") % len(CATEGORIES))
     else:
         v = number(value)
         lo, hi = data.agg(F.min(v), F.max(v)).first()
