@@ -1,16 +1,18 @@
-"""Best-fit packing with swap-based local search.
+"""Best-fit packing by swap-based local search.
 
 A packing depends on the pieces' lengths alone, and there are at most `capacity` lengths: the driver
-sees one count for each length, never a piece. It packs the counts best fit decreasing, equal bins at
-a time, and then improves bins that are not full: one or two pieces move, or are exchanged for one,
-where that raises the sum of squared fills, until no such change is left. The outcome is a list of
-patterns with a number of copies each. Pieces take their places by their rank within a length.
+sees one count for each length, never a piece. The search begins with every piece alone in its bin.
+Bins that aren't full exchange up to two pieces for up to two, the fullest bin first: it takes what
+fills it best from a bin that is no fuller, so every exchange raises the sum of squared fills, and
+emptied bins go. It ends where no exchange is left, or at the volume bound. Equal bins change
+together. The outcome is a list of patterns with a number of copies each; pieces take their places by
+their rank within a length.
 """
 
 from __future__ import annotations
 
+import heapq
 import zlib
-from bisect import bisect_left, insort
 from collections import Counter
 from collections.abc import Iterator
 from itertools import combinations
@@ -24,135 +26,99 @@ from tilth.llm._shared import checkpoint, text_of
 from tilth.llm.encoding import encoder
 
 
-def best_fit(counts: dict[int, int], capacity: int) -> Counter:
-    """Patterns (lengths, falling) with their copies, packed best fit decreasing."""
-    bins: dict[int, Counter] = {}
-    open_: list[int] = []  # room left, rising, of bins that have some
-
-    def put(pattern: tuple, n: int) -> None:
-        room = capacity - sum(pattern)
-        if room not in bins:
-            bins[room] = Counter()
-            insort(open_, room)
-        bins[room][pattern] += n
-
-    for length in sorted(counts, reverse=True):
-        left = counts[length]
-        while left:
-            at = bisect_left(open_, length)
-            if at == len(open_):
-                fit = capacity // length
-                if left >= fit:
-                    put((length,) * fit, left // fit)
-                    left %= fit
-                if left:
-                    put((length,) * left, 1)
-                    left = 0
-                continue
-            room = open_[at]
-            pattern, n = next(iter(bins[room].items()))
-            fit = min(room // length, left)
-            n = min(n, left // fit)
-            bins[room][pattern] -= n
-            if not bins[room][pattern]:
-                del bins[room][pattern]
-                if not bins[room]:
-                    del bins[room]
-                    open_.pop(at)
-            put((*pattern, *(length,) * fit), n)
-            left -= n * fit
-    return sum(bins.values(), Counter())
+def apart(counts: dict[int, int]) -> Counter:
+    """Patterns (lengths, falling) with their copies: every piece in a bin of its own."""
+    return Counter({(length,): n for length, n in counts.items()})
+
+
+def _subsets(pattern: tuple) -> tuple[dict[int, tuple], dict[int, tuple]]:
+    """The pieces of the pattern, and pairs of them, by their sum."""
+    kinds, two = Counter(pattern), {}
+    for x, y in combinations(kinds, 2):
+        two.setdefault(x + y, (x, y))
+    for x, n in kinds.items():
+        if n > 1:
+            two.setdefault(2 * x, (x, x))
+    return {x: (x,) for x in kinds}, two
 
 
 class _Loose:
-    """The bins with room, looked up by a length that they hold and their room."""
+    """The bins with room, looked up by what they can give: one piece or two, of a certain sum."""
 
     def __init__(self, bins: Counter, capacity: int):
         self.bins, self.capacity = bins, capacity
-        self.lengths = np.array([0, *sorted({x for p in bins for x in p})], np.int64)  # 0: nothing comes back
-        self.row = {int(x): i for i, x in enumerate(self.lengths)}
-        shape = len(self.lengths), capacity + 1
-        self.patterns: dict[tuple[int, int], dict[tuple, None]] = {}
-        self.below = np.zeros(shape, np.int32)  # the largest room up to this one, 0 if there is none
-        self.above = np.full(shape, capacity + 1, np.int32)  # the smallest room from this one on
-        self.held = np.zeros(shape, bool)
-        self.of = np.arange(capacity + 1, dtype=np.int32)
+        self.holders: list[list[dict[int, dict[tuple, None]]]] = [[{} for _ in range(capacity + 1)] for _ in range(2)]  # pieces less one, sum, room
+        self.room = np.zeros((2, capacity + 1), np.int64)  # of the emptiest holder; 0 if there is none
         for p in bins:
             self._hold(p)
-        for i in range(len(self.lengths)):
-            self._look_up(i)
-
-    def _rows(self, pattern: tuple) -> list[int]:
-        return [0, *(self.row[x] for x in dict.fromkeys(pattern))]
-
-    def _hold(self, pattern: tuple) -> list[int]:
-        room = self.capacity - sum(pattern)
-        new = []
-        for i in self._rows(pattern) if room else ():
-            if (i, room) not in self.patterns:
-                self.patterns[i, room] = {}
-                self.held[i, room] = True
-                new.append(i)
-            self.patterns[i, room][pattern] = None
-        return new
-
-    def _look_up(self, i: int) -> None:
-        self.below[i] = np.maximum.accumulate(np.where(self.held[i], self.of, 0))
-        self.above[i] = np.minimum.accumulate(np.where(self.held[i], self.of, self.capacity + 1)[::-1])[::-1]
+
+    def _hold(self, pattern: tuple) -> None:
+        if room := self.capacity - sum(pattern):
+            for k, sums in enumerate(_subsets(pattern)):
+                for v in sums:
+                    self.holders[k][v].setdefault(room, {})[pattern] = None
+                    self.room[k, v] = max(room, self.room[k, v])
+
+    def _drop(self, pattern: tuple) -> None:
+        if room := self.capacity - sum(pattern):
+            for k, sums in enumerate(_subsets(pattern)):
+                for v in sums:
+                    of = self.holders[k][v]
+                    del of[room][pattern]
+                    if not of[room]:
+                        del of[room]
+                        if room == self.room[k, v]:
+                            self.room[k, v] = max(of, default=0)
 
     def add(self, pattern: tuple, n: int) -> None:
         """n more bins (fewer, below 0) of this pattern."""
+        if not pattern:
+            return
         had = self.bins[pattern]
         self.bins[pattern] = had + n
-        if not had + n or not pattern:
+        if not had + n:
             del self.bins[pattern]
-        changed = []
-        if pattern and not had:
-            changed = self._hold(pattern)
-        elif not had + n and (room := self.capacity - sum(pattern)):
-            for i in self._rows(pattern):
-                del self.patterns[i, room][pattern]
-                if not self.patterns[i, room]:
-                    del self.patterns[i, room]
-                    self.held[i, room] = False
-                    changed.append(i)
-        for i in changed:
-            self._look_up(i)
-
-    def best(self, a: tuple) -> tuple[tuple, tuple, tuple] | None:
-        """A bin at least as full as a, and both after the change with the largest gain in squared fill, if there is one."""
-        room = self.capacity - sum(a)
-        most = self.below[:, room].copy()
-        alone = self.bins[a] == 1
-        if alone:
-            for i in self._rows(a):
-                if len(self.patterns[i, room]) == 1:
-                    most[i] = self.below[i, room - 1]
-        outs: dict[int, tuple] = {}
-        kinds = Counter(a)
-        for x in kinds:
-            outs[x] = (x,)
-        for x, y in combinations(kinds, 2):
-            outs.setdefault(x + y, (x, y))
-        for x, n in kinds.items():
-            if n > 1:
-                outs.setdefault(2 * x, (x, x))
-        out = np.array(sorted(outs), np.int64)
-        reach = np.maximum.accumulate(np.where(most > 0, self.lengths + most, 0))
-        out = out[reach[np.searchsorted(self.lengths, out) - 1] >= out]
-        if not len(out):
+            self._drop(pattern)
+        elif not had:
+            self._hold(pattern)
+
+    def best(self, b: tuple) -> tuple[tuple, tuple, tuple] | None:
+        """A bin no fuller than b, and both after the exchange that fills b best, if one fills it at all.
+
+        Among equals the exchange that leaves b the fewest pieces is taken, for small ones fit anywhere
+        later, and among those the emptiest giver.
+        """
+        room, own, rooms = self.capacity - sum(b), _subsets(b), self.room
+        alone = self.bins[b] == 1
+        if alone:  # its own pieces are no offer
+            rooms = rooms.copy()
+            for k, sums in enumerate(own):
+                for v in sums:
+                    if rooms[k, v] == room and len(self.holders[k][v][room]) == 1:
+                        rooms[k, v] = 0
+        offered = np.maximum.accumulate(np.where(rooms >= room, np.arange(self.capacity + 1), 0), axis=1)  # the largest sum up to each
+        found = None
+        for back, sums in ((0, {0: ()}), (1, own[0]), (2, own[1])):
+            give = np.fromiter(sums, np.int64, len(sums))
+            for k in (0, 1) if sums else ():
+                take = offered[k, give + room]
+                more = take - give
+                most = int(more.max())
+                if most > 0:
+                    at = np.nonzero(more == most)[0]
+                    i = at[np.argmax(rooms[k, take[at]])]
+                    key = most, back - k, int(rooms[k, take[i]])
+                    if found is None or key > found[0]:
+                        found = key, k, int(take[i]), sums[int(give[i])]
+        if found is None:
             return None
-        more = out[:, None] - self.lengths[None]
-        at, back = np.nonzero((more > 0) & (more <= most[None]))
-        more = more[at, back]
-        rooms = self.above[back, more]
-        k = int(np.argmax(more * (room - rooms + more)))
-        b = next(p for p in self.patterns[int(back[k]), int(rooms[k])] if not alone or p != a)
-        gone, come = Counter(outs[int(out[at[k]])]), Counter([int(self.lengths[back[k]])] if back[k] else [])
+        (_, _, free), k, total, gone = found
+        a = next(p for p in self.holders[k][total][free] if not alone or p != b)
+        come = _subsets(a)[k][total]
         new_a, new_b = Counter(a), Counter(b)
-        new_a.subtract(gone), new_b.subtract(come)
-        new_a.update(come), new_b.update(gone)
-        return b, tuple(sorted(new_a.elements(), reverse=True)), tuple(sorted(new_b.elements(), reverse=True))
+        new_a.subtract(come), new_b.subtract(gone)
+        new_a.update(gone), new_b.update(come)
+        return a, tuple(sorted(new_a.elements(), reverse=True)), tuple(sorted(new_b.elements(), reverse=True))
 
 
 def local_search(bins: Counter, capacity: int) -> Counter:
@@ -162,23 +128,23 @@ def local_search(bins: Counter, capacity: int) -> Counter:
     sum of squared fills, a whole number with a bound, so the search ends.
     """
     bins = Counter(bins)
-    total = sum(sum(p) * n for p, n in bins.items())
-    least, used = -(-total // capacity), sum(bins.values())
-    if used <= least:
-        return bins
+    used, least = sum(bins.values()), -(-sum(sum(p) * n for p, n in bins.items()) // capacity)
     loose, changed = _Loose(bins, capacity), True
-    while changed:
+    while changed and used > least:
         changed = False
-        for a in sorted((p for p in bins if sum(p) < capacity), key=lambda p: (sum(p), p)):
-            while a in bins and (change := loose.best(a)):
-                b, new_a, new_b = change
+        queue = [(capacity - sum(p), p) for p in bins if sum(p) < capacity]
+        heapq.heapify(queue)
+        while queue and used > least:
+            _, b = heapq.heappop(queue)
+            while b in bins and used > least and (change := loose.best(b)):
+                a, new_a, new_b = change
                 n = bins[a] // 2 if a == b else min(bins[a], bins[b])
                 loose.add(a, -n), loose.add(b, -n), loose.add(new_a, n), loose.add(new_b, n)
                 changed = True
-                if not new_a:
-                    used -= n
-                    if used <= least:
-                        return bins
+                used -= 0 if new_a else n
+                for p in filter(None, (new_a, new_b)):
+                    if sum(p) < capacity:
+                        heapq.heappush(queue, (capacity - sum(p), p))
     return bins
 
 
@@ -210,7 +176,7 @@ class Plan:
 
 
 def solve(counts: dict[int, int], capacity: int) -> Plan:
-    return Plan(local_search(best_fit(counts, capacity), capacity))
+    return Plan(local_search(apart(counts), capacity))
 
 
 def pieces_of(docs: DataFrame, tokenizer: str, capacity: int = 2048, end: int = 0, cut: str | None = "bytes") -> DataFrame:
