@@ -34,10 +34,12 @@ from tilth.llm._shared import text_of
 
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ("other", *KINDS, "secret")
-# The patterns of the contract.
-EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
-IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
-CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
+# The patterns of the contract, in forms that read a text once: an address is looked for
+# from its @, a dotted number from its first digit alone.
+LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
+DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
+IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
+CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
 DIGIT = re.compile("[0-9]")
@@ -46,6 +48,7 @@ LOOK = re.compile(r"[0-9@+]")  # what a plain pattern matches has one of these i
 ABOUT = 6
 EDGE = ".,!?*_-#$%&~/\\"
 CONTEXT = ("password", "passwd", "pwd", "token", "secret", "apikey", "api_key", "key", "phone", "tel", "call", "mobile", "fax", "mail", "email", "card", "visa", "ip", "server", "host", "version", "page", "chapter", "year", "license", "isbn", "order", "commit", "room", "section")
+TELLING = frozenset(CONTEXT)
 
 
 def luhn(digits: str) -> bool:
@@ -60,11 +63,24 @@ def _digits(s: str) -> str:
     return "".join(c for c in s if "0" <= c <= "9")
 
 
+def emails(text: str) -> Iterator[tuple[int, int]]:
+    """Places of addresses, as a leftmost search without overlaps finds them: each @ ends one run of letters that may stand before it."""
+    free, at = 0, text.find("@")
+    while at >= 0:
+        before = text[free:at]
+        start = len(before.rstrip(LOCAL)) + free
+        domain = DOMAIN.match(text, at + 1) if start < at else None
+        if domain:
+            yield start, domain.end()
+        free = domain.end() if domain else at + 1
+        at = text.find("@", free)
+
+
 def base_spans(text: str) -> list[tuple[int, int, str]]:
     """(start, end, kind) of the plain patterns, by start and then as KINDS are listed."""
     found = []
     if "@" in text:
-        found += [(*m.span(), "email") for m in EMAIL.finditer(text)]
+        found += [(*span, "email") for span in emails(text)]
     if DIGIT.search(text):
         found += [(*m.span(), "ip") for m in IP.finditer(text) if all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or 0) <= 255 for p in m.group().split("."))]
         found += [(*m.span(), "card") for m in CARD.finditer(text) if 14 <= len(d := m.group().replace(" ", "").replace("-", "")) <= 19 and luhn(d)]
@@ -94,13 +110,13 @@ def features(token: str, before: list[str], after: str, glued: str, base: str) -
         f.append("at")
     if core.startswith("+"):
         f.append("plus")
-    near = [w for w in (x.lower().strip(".") for x in before) if w in CONTEXT]
+    near = [w for w in (x.lower().strip(".") for x in before) if w in TELLING]
     f += [f"near={w}&{kind}" for w in near[-1:]]
-    if before and before[-1].lower().strip(".") in CONTEXT:
+    if before and before[-1].lower().strip(".") in TELLING:
         f.append(f"prev={before[-1].lower().strip('.')}&{kind}")
         if "=" in glued or ":" in glued:
             f += [f"set={before[-1].lower().strip('.')}&{kind}", f"set={before[-1].lower().strip('.')}&{kind}&long={len(core) >= 14}"]
-    if after.lower().strip(".") in CONTEXT:
+    if after.lower().strip(".") in TELLING:
         f.append(f"next={after.lower().strip('.')}&{kind}")
     return f
 
@@ -138,7 +154,7 @@ class Document:
 
 
 def _is_context(word: str) -> bool:
-    return word.lower().strip(".") in CONTEXT
+    return word.lower().strip(".") in TELLING
 
 
 class Field:
@@ -179,72 +195,109 @@ class Field:
     def may_turn_between(self, before: np.ndarray, local: np.ndarray, after: np.ndarray) -> np.ndarray:
         """The same for many tokens, with the most that the neighbours with these scores (against other) can say."""
         forward, backward = (self.pair - self.pair[:, :1]).max(axis=0), (self.pair - self.pair[:1]).max(axis=1)
-        left = _logsumexp((before + forward * (np.arange(len(LABELS)) > 0))[:, :, None] + self.pair[None], 1) - self.pair[0, 0]
-        right = _logsumexp((after + backward * (np.arange(len(LABELS)) > 0))[:, :, None] + self.pair.T[None], 1) - self.pair[0, 0]
+        left = _through(before + forward * (np.arange(len(LABELS)) > 0), self.pair) - self.pair[0, 0]
+        right = _through(after + backward * (np.arange(len(LABELS)) > 0), self.pair.T) - self.pair[0, 0]
         most = local + np.minimum(left, forward) + np.minimum(right, backward)
         return most[:, 1:].max(axis=1) > 0
 
+    def _flag(self, word: str) -> int:
+        """1: the word may turn by its own looks; 2: it is one of CONTEXT; 4: it may turn between two words that can't."""
+        core = word.strip(EDGE)
+        if LOOK.search(word):
+            return 5
+        if not core.isalpha():
+            own = self.local(word, [], "", "", "none")
+            return 5 * self.may_turn(own) + 2 * _is_context(word)
+        n = min(len(core), 40)  # only its length counts then
+        if n not in self.long:
+            own = self.local("a" * n, [], "", "", "none")
+            may = self.may_turn(own)
+            if may:
+                plain = [self.local("a" * k, [], "", "", "none") for k in range(1, n)]
+                beside = np.max([x - x[0] for x in plain if not self.may_turn(x)], axis=0)[None]
+                may += 4 * bool(self.may_turn_between(beside, (own - own[0])[None], beside)[0])
+            self.long[n] = int(may)
+        return self.long[n] + 2 * _is_context(word)
+
     def look(self, words: list[str]) -> np.ndarray:
-        """Which tokens may turn by their own looks, by a word of CONTEXT near them, or by a plain match; all others can't."""
-        fresh = {w for w in set(words) if w not in self.flags}
-        if len(self.flags) + len(fresh) > 100_000:
+        """Which tokens may turn by their own looks, by a word of CONTEXT near them, or by a plain match; all others can't.
+
+        Where the only ones are words that would turn beside each other alone, and all stand apart, none can.
+        """
+        if len(self.flags) > 200_000:
             self.flags.clear()
-            fresh = set(words)
-        for w in fresh:
-            core = w.strip(EDGE)
-            if core.isalpha() and not LOOK.search(w):  # only its length counts then
-                n = min(len(core), 40)
-                if n not in self.long:
-                    self.long[n] = self.may_turn(self.local("a" * n, [], "", "", "none"))
-                self.flags[w] = self.long[n] + 2 * _is_context(w)
-                continue
-            self.flags[w] = bool(LOOK.search(w) or self.may_turn(self.local(w, [], "", "", "none"))) + 2 * _is_context(w)
-        flags = np.frombuffer(bytes(map(self.flags.__getitem__, words)), np.uint8)
-        for w in fresh:
-            if len(w) > 200:
-                del self.flags[w]
-        look, context = (flags & 1).astype(bool), flags > 1
+        known, flag, long = self.flags, self._flag, []
+        found = list(map(known.get, words))
+        if None in found:
+            for i, f in enumerate(found):
+                if f is None:
+                    w = words[i]
+                    found[i] = known[w] = flag(w)
+                    if len(w) > 200:
+                        long.append(w)
+        flags = np.frombuffer(bytes(found), np.uint8)
+        for w in long:
+            known.pop(w, None)
+        look, context = (flags & 1).astype(bool), (flags & 2).astype(bool)
         if context.any():
             look[:-1] |= context[1:]
             for k in (1, 2, 3):
                 look[k:] |= context[:-k]
+        elif not (flags & 4).any() and not (look[1:] & look[:-1]).any():
+            look[:] = False
         return look
 
-    def marginals(self, local: np.ndarray, chain: list[tuple[int, int]], groups: list[list[int]], heard: list[list[int]], damp: float = 0.3) -> np.ndarray:
+    def marginals(self, local: np.ndarray, chain: np.ndarray, groups: list[list[int]], heard: list[list[int]], damp: float = 0.3) -> np.ndarray:
         """Beliefs by loopy sum-product over the chain and a hub for each group, until messages settle.
 
-        A hub hears those of its group in `heard`. From the 200th sweep on steps shrink, so that messages which go round in a circle end too.
+        chain: places whose next neighbour follows them. A place is in one group at most. A hub hears those
+        of its group in `heard`. From the 200th sweep on steps shrink, so that messages which go round in a
+        circle end too. Memory: four messages of a number a label for each token, and one block of edges.
         """
-        n = len(local)
-        skip = [(i, n + h) for h, g in enumerate(groups) for i in g]
-        local = np.concatenate([local, np.zeros((len(groups), len(LABELS)))])
-        edges = np.array([*chain, *skip], np.int64).reshape(-1, 2)
-        if not len(edges):
-            return _softmax(local)
-        bond = np.repeat(self.pair[None], len(edges), axis=0)
-        bond[len(chain) :] = self.agree * np.eye(len(LABELS))
-        source, target = np.concatenate([edges[:, 0], edges[:, 1]]), np.concatenate([edges[:, 1], edges[:, 0]])
-        both = np.concatenate([bond, bond.transpose(0, 2, 1)])
-        back = np.concatenate([np.arange(len(edges), 2 * len(edges)), np.arange(len(edges))])
-        mute = np.zeros(len(source), bool)
-        mute[len(chain) : len(edges)] = [i not in h for g, h in zip(groups, map(set, heard), strict=True) for i in g]
-        sent = np.zeros((len(source), len(LABELS)))
+        left, right = chain, chain + 1
+        member = np.array([i for g in groups for i in g], np.int64)
+        hub = np.repeat(np.arange(len(groups)), [len(g) for g in groups])
+        first = np.nonzero(np.diff(hub, prepend=-1))[0]
+        mute = np.array([i not in h for g, h in zip(groups, map(set, heard), strict=True) for i in g], bool)
+        ahead, behind = np.zeros((len(left), len(LABELS))), np.zeros((len(left), len(LABELS)))
+        up, down = np.zeros((len(member), len(LABELS))), np.zeros((len(member), len(LABELS)))
+        gain = np.expm1(self.agree)
+
+        def belief() -> np.ndarray:
+            b = local.copy()
+            b[right] += ahead
+            b[left] += behind
+            b[member] += down
+            return b
+
+        def over_hub(given: np.ndarray) -> np.ndarray:
+            e = np.exp(given - given.max(axis=1, keepdims=True))
+            return np.log(e.sum(axis=1, keepdims=True) + gain * e)
+
         step, sweep, moved = 1 - damp, 0, 1.0
-        while moved >= 1e-4:
-            belief = local.copy()
-            np.add.at(belief, target, sent)
-            given = belief[source] - sent[back]
-            fresh = _logsumexp(given[:, :, None] + both, 1)
-            fresh -= fresh.max(axis=1, keepdims=True)
-            fresh[mute] = 0
-            moved = step * np.abs(fresh - sent).max()
-            sent = (1 - step) * sent + step * fresh
+        while moved >= 1e-4 and (len(left) or len(member)):
+            b = belief()
+            at_hub = np.add.reduceat(up, first)[hub] if len(member) else up
+            fresh = [_through(b[left] - behind, self.pair), _through(b[right] - ahead, self.pair.T), over_hub(b[member] - down), over_hub(at_hub - up)]
+            fresh[2][mute] = 0
+            moved = 0.0
+            for message, new in zip((ahead, behind, up, down), fresh, strict=True):
+                if len(new):
+                    new -= new.max(axis=1, keepdims=True)
+                    moved = max(moved, step * float(np.abs(new - message).max()))
+                    message += step * (new - message)
             sweep += 1
             if sweep >= 200:
                 step *= 0.97
-        belief = local.copy()
-        np.add.at(belief, target, sent)
-        return _softmax(belief[:n])
+        return _softmax(belief())
+
+
+def _through(given: np.ndarray, pair: np.ndarray, block: int = 4096) -> np.ndarray:
+    """Messages over edges with the weights pair, a block of edges at a time."""
+    out = np.empty_like(given)
+    for i in range(0, len(given), block):
+        out[i : i + block] = _logsumexp(given[i : i + block, :, None] + pair[None], 1)
+    return out
 
 
 def _logsumexp(x: np.ndarray, axis: int) -> np.ndarray:
@@ -269,15 +322,20 @@ def made_up(n: int, seed: int) -> list[tuple[str, list[tuple[int, int, str]]]]:
         d = num(15)
         return next(d + c for c in "0123456789" if luhn(d + c))
 
+    def no_card() -> str:
+        return next(d for _ in range(99) if not luhn(d := num(r.randint(14, 19))))
+
     def secret() -> tuple[str, str, str]:
         value = r.choice([lambda: "AK" + some("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", 18), lambda: some("0123456789abcdef", r.choice([18, 20, 32, 40])), lambda: some("abcdefghijkmnpqrstuvwxyzABCDEFGHJKLMNPQRSTUVWXYZ23456789", r.randint(16, 40)), lambda: some(r.choice(["abcdefghijklmnopqrstuvwxyz", "abcdefghijkmnpqrstuvwxyzABCDEFGHJKLMNPQRSTUVWXYZ"]), r.randint(16, 32))])()
         name = r.choice(["password", "passwd", "pwd", "token", "secret", "api_key", "key"])
-        return r.choice([(f"{name}=", value, ""), (f"{name} = \"", value, '"'), (f"{name}: ", value, "")] + [("", value, "")] * value.startswith("AK"))
+        return r.choice([(f"{name}=", value, ""), (f"{name} = \"", value, '"'), (f"{name}: ", value, "")] + [("", value, "")] * value.startswith("AK") + [(f"{name} is ", value, "")] * bool(DIGIT.search(value)))
 
     def entity() -> tuple[str, str, str, str]:
         kind = r.choice(["email", "ip", "card", "phone", "phone", "secret", "secret", "secret"])
         if kind == "secret":
             return (*secret(), kind)
+        if kind == "phone" and r.random() < 0.3:  # no plain match: the word before it tells
+            return r.choice(["phone ", "tel ", "call ", "mobile ", "fax ", "phone: "]), r.choice([f"{num(3)}-{num(3)}-{num(4)}", f"{num(3)}.{num(3)}.{num(4)}", num(10)]), "", kind
         lead = r.choice(["", "", {"email": "mail ", "ip": "server ", "card": "card ", "phone": "phone "}[kind]])
         value = {"email": lambda: f"{word()}.{num(2)}@{word()}{num(1)}.example.org", "ip": lambda: ".".join(str(r.randint(1, 254)) for _ in range(4)), "card": card, "phone": lambda: r.choice([f"+{r.randint(1, 98)} ({num(3)}) 555-{num(4)}", f"+{r.randint(1, 98)} {num(3)} {num(3)} {num(4)}"])}[kind]()
         return lead, value, "", kind
@@ -287,7 +345,7 @@ def made_up(n: int, seed: int) -> list[tuple[str, list[tuple[int, int, str]]]]:
         return r.choice([one, one, one.capitalize(), one.upper()]) + r.choice(["", "", "!!"])
 
     def plain() -> str:
-        return r.choice([lambda: f"version {r.randint(1, 9)}.{r.randint(0, 9)}", lambda: f"{r.randint(1, 9)}.{r.randint(0, 20)}.{r.randint(0, 20)}", lambda: str(r.randint(1900, 2035)), lambda: f"{r.randint(1, 28)}.{r.randint(1, 12)}.{r.randint(1990, 2030)}", lambda: f"20{num(2)}-0{r.randint(1, 9)}-1{num(1)}", lambda: f"${num(2)}.{num(2)}", lambda: f"page {num(3)}", lambda: num(r.randint(1, 9)), lambda: f"room {word()}{num(2)}", lambda: f"{word()}={num(2)}", lambda: f"order {num(12)}", lambda: f"{num(2)}%", lambda: f"{num(1)}:{num(2)}", lambda: f"{word()}-{num(1)}", lambda: f"isbn {num(13)}", lambda: f"x{num(1)} = y{num(1)}", lambda: f"{word()}@{word()}", lambda: f"BY-NC {num(1)}.0.", lambda: f"{r.choice(CONTEXT)}{r.choice([' ', ': ', ' = '])}{word()}", long])()
+        return r.choice([lambda: f"version {r.randint(1, 9)}.{r.randint(0, 9)}", lambda: f"{r.randint(1, 9)}.{r.randint(0, 20)}.{r.randint(0, 20)}", lambda: str(r.randint(1900, 2035)), lambda: f"{r.randint(1, 28)}.{r.randint(1, 12)}.{r.randint(1990, 2030)}", lambda: f"20{num(2)}-0{r.randint(1, 9)}-1{num(1)}", lambda: f"${num(2)}.{num(2)}", lambda: f"page {num(3)}", lambda: num(r.randint(1, 9)), lambda: f"room {word()}{num(2)}", lambda: f"{word()}={num(2)}", lambda: f"order {num(r.randint(6, 12))}", lambda: f"commit {num(10)}", lambda: f"page {num(3)}-{num(3)}", lambda: f"{num(2)}%", no_card, lambda: f"{num(1)}:{num(2)}", lambda: f"{word()}-{num(1)}", lambda: f"isbn {num(13)}", lambda: f"x{num(1)} = y{num(1)}", lambda: f"{word()}@{word()}", lambda: f"BY-NC {num(1)}.0.", lambda: f"{r.choice(CONTEXT)}{r.choice([' ', ': ', ' = '])}{word()}", long, long, lambda: " ".join([long()] * r.randint(2, 6))])()
 
     out = []
     for _ in range(n):
@@ -310,8 +368,8 @@ def made_up(n: int, seed: int) -> list[tuple[str, list[tuple[int, int, str]]]]:
 
 
 @cache
-def trained(documents: int = 700, rounds: int = 12, seed: int = 11) -> Field:
-    """The field, trained on `documents` made-up ones; by the driver, which sends it along."""
+def trained(documents: int = 1200, rounds: int = 12, together: int = 8, seed: int = 11) -> Field:
+    """The field, trained on `documents` made-up ones, `together` at a time; by the driver, in seconds, which sends it along."""
     index: dict[str, int] = {}
     rows = []
     same = pairs = 0
@@ -319,12 +377,9 @@ def trained(documents: int = 700, rounds: int = 12, seed: int = 11) -> Field:
         doc = Document(text, base_spans(text))
         if not doc.words:
             continue
-        feats = [features(*doc.seen(i)) for i in range(len(doc.words))]
+        feats = [[index.setdefault(x, len(index)) for x in features(*doc.seen(i))] for i in range(len(doc.words))]
         gold = np.array([next((LABELS.index(k) for s, e, k in spans if s < b and a < e), 0) for a, b in doc.spans])
-        for f in feats:
-            for x in f:
-                index.setdefault(x, len(index))
-        rows.append(([[index[x] for x in f] for f in feats], gold))
+        rows.append((np.array([x for f in feats for x in f]), np.cumsum([0, *map(len, feats)])[:-1], gold))
         last: dict[str, int] = {}
         for i, key in enumerate(map(key_of, doc.words)):
             if key in last:
@@ -336,18 +391,22 @@ def trained(documents: int = 700, rounds: int = 12, seed: int = 11) -> Field:
     step_u, step_p = np.full_like(unary, 1e-6), np.full_like(pair, 1e-6)
     rng = np.random.default_rng(seed)
     for _ in range(rounds):
-        for k in rng.permutation(len(rows)):
-            feats, gold = rows[k]
-            local = np.array([unary[f].sum(axis=0) for f in feats])
-            joined = np.arange(len(gold)) > 0
-            one, two = _chain_marginals(local, joined, pair)
-            one[np.arange(len(gold)), gold] -= 1
-            grad_u = np.zeros_like(unary)
-            for f, g in zip(feats, one, strict=True):
-                np.add.at(grad_u, f, g)
-            grad_u += 1e-3 * unary
-            grad_p = two.sum(axis=0) + 1e-3 * pair
-            np.add.at(grad_p, (gold[:-1], gold[1:]), -1)
+        order = rng.permutation(len(rows))
+        for k in range(0, len(rows), together):
+            some = [rows[i] for i in order[k : k + together]]
+            sizes = [len(gold) for _, _, gold in some]
+            local = np.zeros((len(some), max(sizes), len(LABELS)))
+            for d, (feats, starts, gold) in enumerate(some):
+                local[d, : len(gold)] = np.add.reduceat(unary[feats], starts)
+            one, two = _chain_marginals(local, np.array(sizes), pair)
+            grad_u, grad_p = 1e-3 * unary, 1e-3 * pair + two
+            for d, (feats, starts, gold) in enumerate(some):
+                off = one[d, : len(gold)]
+                off[np.arange(len(gold)), gold] -= 1
+                each = np.repeat(off, np.diff([*starts, len(feats)]), axis=0)
+                for label in range(len(LABELS)):
+                    grad_u[:, label] += np.bincount(feats, each[:, label], len(unary))
+                np.add.at(grad_p, (gold[:-1], gold[1:]), -1)
             step_u += grad_u**2
             step_p += grad_p**2
             unary -= 0.3 * grad_u / np.sqrt(step_u)
@@ -356,22 +415,23 @@ def trained(documents: int = 700, rounds: int = 12, seed: int = 11) -> Field:
     return Field(index, unary, pair, min(agree, 6.0))
 
 
-def _chain_marginals(local: np.ndarray, joined: np.ndarray, pair: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Exact marginals of chains (a row that isn't joined begins a new one): by token, and by joined pair."""
-    n = len(local)
-    ahead, behind = local.copy(), np.zeros_like(local)
+def _chain_marginals(local: np.ndarray, sizes: np.ndarray, pair: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Exact marginals of chains, one a row of local and `sizes` long: by token, and summed over all joined pairs."""
+    m, n = local.shape[:2]
+    own, step = np.exp(local - local.max(axis=2, keepdims=True)), np.exp(pair - pair.max())
+    ahead, behind = own.copy(), np.ones_like(own)  # each token's are scaled to a sum of one
+    ahead[:, 0] /= ahead[:, 0].sum(axis=1, keepdims=True)
     for i in range(1, n):
-        if joined[i]:
-            ahead[i] += _logsumexp(ahead[i - 1][:, None] + pair, 0)
+        ahead[:, i] *= ahead[:, i - 1] @ step
+        ahead[:, i] /= ahead[:, i].sum(axis=1, keepdims=True)
+    inside = np.arange(n)[None] < sizes[:, None]
     for i in range(n - 2, -1, -1):
-        if joined[i + 1]:
-            behind[i] = _logsumexp(pair + (local[i + 1] + behind[i + 1])[None], 1)
-    two = []
-    for i in np.nonzero(joined)[0]:
-        t = ahead[i - 1][:, None] + pair + (local[i] + behind[i])[None]
-        t = np.exp(t - t.max())
-        two.append(t / t.sum())
-    return _softmax(ahead + behind), np.array(two).reshape(-1, len(LABELS), len(LABELS))
+        b = (own[:, i + 1] * behind[:, i + 1]) @ step.T
+        behind[:, i] = np.where(inside[:, i + 1, None], b / b.sum(axis=1, keepdims=True), 1.0)
+    one = ahead * behind
+    two = ahead[:, :-1, :, None] * step * (own[:, 1:] * behind[:, 1:])[:, :, None]
+    two *= (inside[:, 1:] / two.sum(axis=(2, 3)))[:, :, None, None]
+    return one / one.sum(axis=2, keepdims=True), two.sum(axis=(0, 1))
 
 
 def _turning(doc: Document, field: Field, maybe: list[int]) -> tuple[list[int], set[str]]:
@@ -419,7 +479,7 @@ def beliefs(doc: Document, field: Field, look: np.ndarray | None = None) -> tupl
         return [], np.zeros((0, len(LABELS)))
     local = np.array([found[i] if i in found else field.local(*doc.seen(i)) for i in at])
     place = {i: k for k, i in enumerate(at)}
-    chain = [(k - 1, k) for k, i in enumerate(at) if i - 1 in place]
+    chain = np.nonzero(np.diff(at) == 1)[0]
     for k, i in enumerate(at):  # tokens beyond a stretch are other
         if i and i - 1 not in place:
             local[k] += field.pair[0]
