@@ -41,6 +41,15 @@ def test_layouts(spark):
         canonical(spark.createDataFrame([(1, "x")], "conv_id int, prompt string"))
 
 
+def test_columns_of_other_layouts_beside_one(spark):
+    rows = [(1, 0, "user", "q", "x"), (1, 1, "assistant", "a", "y")]
+    for other in ("answer", "system", "input", "prompt", "output", "response", "messages"):
+        got = canonical(spark.createDataFrame(rows, f"conv_id int, turn int, role string, text string, {other} string")).first()["turns"]
+        assert [tuple(t) for t in got] == [("user", "q"), ("assistant", "a")]
+    got = canonical(spark.createDataFrame([(1, "s", "q", "a", "more")], "conv_id int, system string, prompt string, response string, completion string")).first()["turns"]
+    assert [tuple(t) for t in got] == [("system", "s"), ("user", "q"), ("assistant", "a")]
+
+
 def test_nulls_ties_and_empty(spark):
     schema = "conv_id long, turn long, role string, text string, id long"
     rows = [(1, None, "user", None, 1), (1, 0, "b", "x", 1), (1, 0, "a", "y", 1), (1, 0, "a", "y", 1), (None, 0, "user", "z", 1)]

@@ -1,8 +1,9 @@
 r"""Chat formatting in DataFrame functions.
 
-Layouts are told apart by a fingerprint: a hash of the sorted nested field paths that any mapping
-knows. The fingerprint selects a declarative mapping to canonical turns, an array of (role, text).
-Columns that no mapping knows don't count.
+Layouts are told apart by fingerprints: a hash of sorted nested field paths. A declarative mapping to
+canonical turns, an array of (role, text), fits a table if the table's paths that the mapping knows have
+the mapping's own fingerprint; of several that fit, the one with the most paths is taken, and of equals
+the one listed first. Other columns don't count, whatever their names.
 
 The template is `<|im_start|>role\ntext<|im_end|>\n` for each turn. Inside texts and roles a backslash
 becomes two and `<|` becomes `<\|`, so a control string never stands in a text; a role's line feeds
@@ -52,9 +53,6 @@ MAPPINGS = (
     Mapping("fields", (("user", "instruction"), ("assistant", "output")), (), ("input",)),
     Mapping("fields", (("system", "system"), ("user", "prompt"), ("assistant", "response"))),
 )
-KNOWN = frozenset(p for m in MAPPINGS for p in m.paths)
-
-
 def field_paths(schema: T.StructType, before: str = "") -> list[str]:
     """Nested field paths, with [] for an array's elements."""
     out = []
@@ -67,14 +65,23 @@ def field_paths(schema: T.StructType, before: str = "") -> list[str]:
 
 
 def fingerprint(paths) -> int:
-    """A 64-bit hash of the known paths among these (FNV-1a over the sorted paths)."""
+    """A 64-bit hash of these paths (FNV-1a over the sorted paths)."""
     h = 0xCBF29CE484222325
-    for byte in "\n".join(sorted(KNOWN.intersection(paths))).encode():
+    for byte in "\n".join(sorted(paths)).encode():
         h = (h ^ byte) * 0x100000001B3 & 0xFFFFFFFFFFFFFFFF
     return h
 
 
-BY_FINGERPRINT = {fingerprint(m.paths): m for m in MAPPINGS}
+MARKS = {m: fingerprint(m.paths) for m in MAPPINGS}
+
+
+def mapping_of(schema: T.StructType) -> Mapping:
+    """The mapping for a table of this schema; ValueError if none fits."""
+    paths = frozenset(field_paths(schema))
+    fits = [m for m in MAPPINGS if fingerprint(paths.intersection(m.paths)) == MARKS[m]]
+    if not fits:
+        raise ValueError(f"no mapping for the layout {fingerprint(paths):016x}: {sorted(paths)}")
+    return max(fits, key=lambda m: len(m.paths))
 
 
 def _text(c: Column | str) -> Column:
@@ -86,12 +93,10 @@ def canonical(df: DataFrame, key: str = "conv_id") -> DataFrame:
 
     Defined cases: null roles and texts are empty; rows are ordered by turn (nulls first), role and
     text, and repeated rows are repeated turns; rows with a null key are one conversation (rows
-    layout); an array that is null has no turns; columns beside the layout's are not looked at.
+    layout); an array that is null has no turns; columns beside the layout's are not looked at, even
+    where another layout has their names.
     """
-    mark = fingerprint(field_paths(df.schema))
-    if mark not in BY_FINGERPRINT:
-        raise ValueError(f"no mapping for the layout {mark:016x}: {sorted(KNOWN.intersection(field_paths(df.schema)))}")
-    m = BY_FINGERPRINT[mark]
+    m = mapping_of(df.schema)
     role_of = lambda c: reduce(lambda e, a: F.when(c == a[0], a[1]).otherwise(e), m.roles, c)
     if m.kind == "rows":
         rows = df.select(F.col(key), F.col("turn"), _text("role").alias("role"), _text("text").alias("text"))
