@@ -1,5 +1,6 @@
 import base64
 import hashlib
+import time
 
 import numpy as np
 import public_tokenizers as P
@@ -47,6 +48,17 @@ def test_machine_alone_takes_any_bytes(data):
     assert own.machine.encode(data) == small.encode(data)
 
 
+def test_one_long_match_is_read_once(library):
+    own = codec(PATH, P.PATTERN)
+    for text in ("a" * 20_000, "ab" * 10_000, "é" * 5_000, "aaab" * 4_000):
+        assert own.machine.encode(text.encode()) == library.encode_ordinary(text)
+    small = Transducer(own.vocabulary, most_states=50, lookahead=16)
+    for text in (b"a" * 400_000, b"the" * 100_000):
+        start = time.process_time()
+        ids = small.encode(text)
+        assert b"".join(own.tokens[i] for i in ids) == text and len(small.sets) <= 52 and time.process_time() - start < 20
+
+
 @given(st.binary(max_size=12))
 def test_utf8_machine(data):
     try:

@@ -7,7 +7,7 @@ may close a token at any node that ends one if it goes with the token before it,
 the root. Its states are pairs of the token closed last and the trie's node. `Transducer` determinises
 it as the input asks for: a state of the machine is a list of such pairs. What all of them agree on is
 emitted, so output lags by a bounded lookahead, or by the ambiguity if that lasts longer. States and
-moves are kept up to a bound, beyond which the machine starts anew.
+moves are kept up to a bound, beyond which the machine starts anew, within a match too.
 
 Decoding. `Utf8` is the incremental machine that checks UTF-8 across tokens: its state is the bytes
 that a character still lacks and the range of the next one.
@@ -89,9 +89,12 @@ class Transducer:
         self.v, self.most, self.lookahead = vocabulary, most_states, lookahead
         self.reset()
 
-    def reset(self) -> None:
+    def reset(self, keep: tuple | None = None) -> int:
+        """Forgets all states but the first and the pairs in keep; the number of those."""
         start = ((-1, ROOT),)
-        self.sets, self.numbers, self.moves = [start], {start: 0}, [{}]
+        self.sets = list(dict.fromkeys([start, keep or start]))
+        self.numbers, self.moves = {pairs: i for i, pairs in enumerate(self.sets)}, [{} for _ in self.sets]
+        return len(self.sets) - 1
 
     def _step(self, state: int, byte: int) -> tuple[int, int]:
         v, found, ended = self.v, [], -1
@@ -121,15 +124,18 @@ class Transducer:
             place -= size[ended[place]]
 
     def encode(self, data: bytes) -> list[int]:
-        if len(self.sets) > self.most:
-            self.reset()
-        state, out, moves, ended = 0, [], self.moves, [-1]
+        state, out, moves, ended, most = 0, [], self.moves, [-1], self.lookahead
         for byte in data:
-            move = moves[state].get(byte) or self._step(state, byte)
+            move = moves[state].get(byte)
+            if move is None:
+                if len(self.sets) > self.most:
+                    state, moves = self.reset(self.sets[state]), self.moves
+                move = self._step(state, byte)
             state = move[0]
             ended.append(move[1])
-            if len(ended) > self.lookahead:
+            if len(ended) > most:
                 ended = self._emit(state, ended, out)
+                most = max(self.lookahead, 2 * len(ended))  # while nothing is agreed on, look again at twice the length only
         if len(ended) > 1:
             if ended[-1] < 0:
                 raise ValueError("the vocabulary lacks a byte of the text")
@@ -271,7 +277,9 @@ class Codec:
 def codec(path: str, pattern: str) -> Codec:
     """One for each worker process. path: a file of base64 bytes and ranks."""
     raw = files.read(path) if "://" in path else open(path, "rb").read()
-    return Codec({base64.b64decode(a): int(b) for a, b in map(bytes.split, raw.splitlines())}, pattern)
+    made = Codec({base64.b64decode(a): int(b) for a, b in map(bytes.split, raw.splitlines())}, pattern)
+    gc.freeze()  # the tables hold no cycles and stay
+    return made
 
 
 def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
@@ -289,7 +297,6 @@ def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
             for text in b["text"]:
                 ids = own.encode(text)
                 rows.append((len(ids), hashlib.sha256(ids.tobytes()).hexdigest(), hashlib.sha256(own.decode(ids)).hexdigest()))
-            gc.freeze()
             gc.enable()
             yield pd.concat([b[["doc_id"]], pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"], index=b.index)], axis=1)
 
