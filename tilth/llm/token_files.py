@@ -111,7 +111,8 @@ def write_token_files(docs: DataFrame, to: str, tokenizer: str, end: int = 1, cu
     Documents are dealt by ranges of doc_id and sorted within a range; a task encodes and writes
     files of about file_tokens ids (a document is never cut) in places that depend on its range
     alone, so a task that is run again replaces them. Defined cases: null text is empty and gets the
-    end id only; rows that share a doc_id follow each other by text; null doc_ids come first; an
+    end id only; rows that share a doc_id (or have none) follow each other by text, whose beginning parts
+    them into ranges too; null doc_ids come first; an
     empty table writes nothing; other columns are not looked at.
     """
 
@@ -135,7 +136,7 @@ def write_token_files(docs: DataFrame, to: str, tokenizer: str, end: int = 1, cu
         if kept:
             yield flush()
 
-    sorted_docs = docs.select("doc_id", text_of().alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    sorted_docs = docs.select("doc_id", text_of().alias("text")).repartitionByRange("doc_id", F.substring("text", 1, 64)).sortWithinPartitions("doc_id", "text")
     manifest = checkpoint(sorted_docs.mapInPandas(work, "part int, seq int, path string, n_docs long, n_tokens long"))
     before = lambda w: F.coalesce(F.sum("n_tokens").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     parts = manifest.groupBy("part").agg(F.sum("n_tokens").alias("n_tokens"))
