@@ -86,6 +86,12 @@ def test_search_has_no_budget():
     assert sum(local_search(first, 80).values()) == 5
 
 
+def docs_ids(pairs):
+    """The library's ids of each text, with the end id."""
+    plain = library("byte_bpe_50k.json")
+    return [(i, [*plain(t or ""), 0]) for i, t in pairs]
+
+
 def test_query(spark):
     pairs, plain = rows(), library("byte_bpe_50k.json")
     want = Counter()

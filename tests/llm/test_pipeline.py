@@ -1,7 +1,16 @@
 import random
+import zlib
+from collections import Counter
+
+import numpy as np
 
 import corpus_pipeline
 from tests.llm.helpers import SF, docs, empty, rows
+from tests.llm.test_line_dedup import brute as lines_left
+from tests.llm.test_packing import docs_ids
+from tests.llm.test_pii import scanned
+from tests.llm.test_quality import labels, plain
+from tilth.llm.quality import judge
 from tilth.llm.simhash_jaccard import near_duplicates
 
 
@@ -48,6 +57,52 @@ def test_stages_take_effect_and_keep_columns(spark, tmp_path):
     assert frame.count()
 
 
+def as_rows(frame):
+    return Counter(tuple(r) for r in frame.select(corpus_pipeline.COLUMNS).collect())
+
+
+def test_quality_stage_keeps_rows_as_they_are(spark):
+    frame = docs(spark).select(corpus_pipeline.COLUMNS)
+    got, all_ = as_rows(corpus_pipeline.keep_good(spark, frame, SF)), as_rows(frame)
+    failed = {r for r in all_ if plain(r[1])[5]}
+    assert not got - all_ and not failed & set(got)
+    gone = Counter(r["doc_id"] for r in judge(frame, labels(spark)).filter("not kept").collect())
+    assert Counter(r[0] for r in (all_ - got).elements()) == gone
+    good = {r["doc_id"] for r in labels(spark).filter("quality = 1").collect()}
+    asked = [r for r in all_ if r[0] in good and r not in failed]
+    assert sum(r in got for r in asked) >= 0.99 * len(asked) > 0
+
+
+def test_line_stage_keeps_the_last_holder(spark):
+    import hashlib
+
+    pairs = rows()
+    got = corpus_pipeline.drop_repeated_lines(spark, docs(spark, pairs).select(corpus_pipeline.COLUMNS), SF).collect()
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    assert Counter((r["doc_id"], sha(r["text"])) for r in got) == Counter((i, k) for i, _, _, k in lines_left(pairs))
+    assert all(r["n_chars"] == len(r["text"]) and (r["lang"], r["source"]) == ("en", "s") for r in got)
+
+
+def test_pii_stage_hides_spans_and_nothing_else(spark):
+    pairs = [(1, "write to a.b@c.de or 10.0.0.1 now"), (2, "nothing here"), (3, None), (None, "card 4111 1111 1111 1111."), (4, ""), (4, "")]
+    got = Counter((r["doc_id"], r["text"], r["n_chars"]) for r in corpus_pipeline.hide_personal_data(spark, docs(spark, pairs).select(corpus_pipeline.COLUMNS), SF).collect())
+    want = [(1, "write to <EMAIL> or <IP> now"), (2, "nothing here"), (3, None), (None, "card <CARD>."), (4, ""), (4, "")]
+    assert got == Counter((i, t, None if t is None else len(t)) for i, t in want)
+    for r in corpus_pipeline.hide_personal_data(spark, docs(spark).select(corpus_pipeline.COLUMNS), SF).collect():
+        assert len(r["text"] or "") > 20_000 or not scanned(r["text"] or "")
+
+
+def test_packing_stage_holds_every_token_once(spark):
+    pairs = rows(40)
+    got = corpus_pipeline.pack(spark, docs(spark, pairs).select(corpus_pipeline.COLUMNS), SF).collect()
+    want = Counter()
+    for i, ids in docs_ids(pairs):
+        n = -(-len(ids) // 2048)
+        cuts = [0, *(len(ids) - k * 2048 for k in range(n - 1, -1, -1))]
+        want.update((i, a, zlib.crc32(np.array(ids[a:b], "<u4").tobytes())) for a, b in zip(cuts, cuts[1:], strict=False))
+    assert Counter((r["doc_id"], r["start"], r["ids_crc32"]) for r in got) == want
+
+
 def test_empty(spark):
     for name, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty(spark).select(corpus_pipeline.COLUMNS), SF).collect() == [], name
