@@ -16,29 +16,47 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rules or the forest reject go."""
+    """Documents that the rules or the forest reject go, all others stay as they are.
+
+    Null and empty texts have no words and go; repeated rows and rows without a doc_id are judged each;
+    without labels only the plain rules reject; an empty table gives an empty one.
+    """
     judged = quality.judge(docs, table(spark, sf_dir, "labels"), keep=("text", "lang", "source", "n_chars"))
     return judged.filter("kept").select(COLUMNS)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that three documents or more hold stay in one of them."""
+    """Lines of 20 characters or more that three documents or more hold stay in the one of the largest doc_id; n_chars follows.
+
+    Every row stays, with an empty text where all its lines go; a null text becomes empty; rows that
+    share a doc_id count as one document; rows without one count as none and lose such lines.
+    """
     cleaned = line_dedup.line_dedup(docs, carry=("lang", "source"))
     return cleaned.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(COLUMNS)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays: similarity 0.8 or more over five-word shingles."""
+    """One document of each group stays, that of the smallest doc_id: similarity 0.8 or more over five-word shingles.
+
+    Texts without words are copies of each other; rows that share a doc_id stay or go together; rows
+    without a doc_id stay.
+    """
     return simhash_jaccard.deduplicated(docs).select(COLUMNS)
 
 
 def hide_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data and secrets become their kind in angle brackets."""
+    """Personal data and secrets become their kind in angle brackets; n_chars follows.
+
+    Every row stays; a null text stays null, and so does its n_chars; texts without spans are unchanged.
+    """
     return pii.redact(docs).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(COLUMNS)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sequences of at most 2048 tokens."""
+    """Sequences of at most 2048 tokens: a row for each piece, no token twice or missing.
+
+    Null and empty texts are the end id alone; repeated rows and rows without a doc_id are packed each.
+    """
     return packing.pack_documents(docs, queries.vocabulary(queries.BYTES))
 
 
