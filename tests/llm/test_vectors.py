@@ -1,7 +1,7 @@
 import numpy as np
 
 from tests.llm.helpers import tuples
-from tilth.llm.vectors import bucket_codes, hadamard, near_vectors
+from tilth.llm.vectors import bucket_codes, hadamard, near_vectors, nearest_axes, shape
 
 SCHEMA = "vec_id long, embedding array<float>, label int, rep string, code int"
 
@@ -46,8 +46,26 @@ def test_turns_keep_length_and_recall():
     e = rng.normal(size=x.shape)
     e -= (e * x).sum(1, keepdims=True) * x
     y = 0.98 * x + np.sqrt(1 - 0.98**2) * e / np.linalg.norm(e, axis=1, keepdims=True)
-    a, b = bucket_codes(x, 3, 3, 2), bucket_codes(y, 3, 3, 2)
-    assert np.mean([bool(set(p) & set(q)) for p, q in zip(a, b, strict=True)]) > 0.995
+    for rows in (1000, 10**9, 10**13):
+        tables, parts = shape(rows, 64)
+        a, b = (bucket_codes(nearest_axes(v, tables, parts, 2), 64) for v in (x, y))
+        assert np.mean([bool(set(p) & set(q)) for p, q in zip(a, b, strict=True)]) > 0.985, (tables, parts)
+        assert parts == 3 or rows / 64.0**parts <= 64
+
+
+def test_any_size_and_number_of_parts(spark):
+    rng = np.random.default_rng(8)
+    rows = []
+    for g in range(6):
+        base = rng.normal(size=16)
+        for k in range(5):
+            size = [1e200, 1e-200, 1.0, 1e307, 3e-310][k]
+            rows.append((len(rows) + 1, ((base + rng.normal(size=16) * 0.02) * size).tolist(), 0))
+    schema = SCHEMA.replace("float", "double")
+    df = spark.createDataFrame([(*r, "clash", 1) for r in rows], schema)
+    scaled = [(i, (np.array(e) / np.abs(e).max()).tolist(), l) for i, e, l in rows]
+    for tables, parts in ((None, None), (6, 4), (4, 1)):
+        assert tuples(near_vectors(df, tables=tables, parts=parts, block=8), "vec_id", "n_links", "component_id", "kept") == brute(scaled)
 
 
 def test_empty(spark):

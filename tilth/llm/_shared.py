@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -18,10 +19,12 @@ LOWERED = bytes.maketrans(UPPER.encode(), LOWER.encode())
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset, a local master (tests) gets one of our own; a cluster is an error."""
     sc = spark.sparkContext
     where = sc.getConf().get("spark.checkpoint.dir", "") or spark.conf.get("spark.checkpoint.dir", "")
     if not where:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise ValueError("spark.checkpoint.dir is not set: name a folder that the driver and all executors share")
         where = f"file://{tempfile.gettempdir()}/checkpoints/{sc.applicationId}"
         os.makedirs(where.removeprefix("file://"), exist_ok=True)
     if sc._jsc.sc().getCheckpointDir().isEmpty():
@@ -66,21 +69,41 @@ def text_of(column: str = "text"):
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 
 
+#: A key that one in so many rows has is joined by broadcast; no more keys than this can be so frequent.
+MOST_OFTEN = 1000
+
+
+def join_counted(rows: DataFrame, classes: DataFrame, keys: list[str], total: int) -> DataFrame:
+    """rows joined with the one row that classes has for each value of keys; `n` there says how many of the rows have it (dropped).
+
+    Values that a thousandth of `total` or more of the rows have, MOST_OFTEN of them at most, are sent
+    to every task, so no task gets all rows of a frequent one; all others meet by shuffle. total: the
+    number of rows or a little more.
+    """
+    often = F.col("n") * MOST_OFTEN >= total
+    hot = classes.filter(often).drop("n").withColumn("_hot", F.lit(True))
+    tried = rows.join(F.broadcast(hot), keys, "left")
+    rest = tried.filter("_hot is null").select(*rows.columns).join(classes.filter(~often).drop("n"), keys)
+    found = tried.filter("_hot").drop("_hot")
+    return found.unionByName(rest.select(*found.columns))
+
+
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
     """(node, component) of every node on an edge; component is the smallest node reachable.
 
     Alternating large-star and small-star steps: each is a minimum by node (combined before the
-    shuffle) and a join back, and every round ends in a checkpoint, so a lost executor costs one
-    round at most. No node's neighbours are ever gathered. Self-loops are allowed; rows with a null
-    are ignored. An empty input gives an empty result.
+    shuffle) and a join back, where hubs are broadcast (join_counted), and every round ends in a
+    checkpoint, so a lost executor costs one round at most. No node's neighbours are ever gathered.
+    Rounds grow as the logarithm of the nodes; max_rounds of them without an end is an error.
+    Self-loops are allowed; rows with a null are ignored. An empty input gives an empty result.
     """
 
-    def star(e: DataFrame, large: bool) -> DataFrame:
+    def star(e: DataFrame, large: bool, total: int) -> DataFrame:
         both = e.select("u", "v")
         if large:
             both = both.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        out = both.join(least, "u")
+        least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
+        out = join_counted(both, least, ["u"], total)
         if large:
             out = out.filter("v > u").select(F.col("v").alias("x"), F.col("m").alias("y"))
         else:
@@ -90,10 +113,12 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
     raw = edges.select(F.col(a).alias("x"), F.col(b).alias("y")).dropna()
     raw = checkpoint(raw.select(F.greatest("x", "y").alias("u"), F.least("x", "y").alias("v")).distinct())
     e, before = raw.filter("u <> v"), None
+    n = e.count()
     for _ in range(max_rounds):
-        e = checkpoint(star(star(e, True), False))
+        e = checkpoint(star(star(e, True, 2 * n), False, 2 * n))  # neither star reads more than 2 n rows
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
-        if now == before or not now[0]:
+        n = now[0]
+        if now == before or not n:
             break
         before = now
     else:

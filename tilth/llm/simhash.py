@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tilth.llm._shared import LOWERED, checkpoint, connected_components, text_of
+from tilth.llm._shared import LOWERED, checkpoint, connected_components, join_counted, text_of
 
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
 GENERATOR = 0b110001110101  # x^11 + x^10 + x^6 + x^5 + x^4 + x^2 + 1
@@ -134,9 +134,9 @@ def simhash_components(docs: DataFrame, k: int = 3, small: int = 32) -> DataFram
     are not looked at. Copies stay with their fingerprint and are never expanded into pairs.
     """
     fps = checkpoint(fingerprints(docs, k))
-    classes = checkpoint(fps.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    classes = checkpoint(fps.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")))
     parts = connected_components(fingerprint_links(classes, small))
-    named = classes.join(parts.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
-    least = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    by_fp = named.join(least, "component").select("fp", "component_id")
-    return fps.join(by_fp, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    named = classes.withColumnRenamed("n", "rows").join(parts.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+    least = named.groupBy("component").agg(F.min("least").alias("component_id"), F.count("*").alias("n"))
+    by_fp = join_counted(named, least, ["component"], classes.count()).select("fp", "component_id", F.col("rows").alias("n"))
+    return join_counted(fps, by_fp, ["fp"], fps.count()).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
