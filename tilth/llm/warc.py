@@ -3,7 +3,8 @@
 A bundle is a run of independent frames, each with whole records, and ends in a skippable frame with
 the seek table: the compressed and plain size of every frame, as the public seekable format lays it
 out. The record map gives, for each record identifier, the bundle, the frame and the place within the
-frame's plain bytes, so one record costs one frame. Bundles open with any Zstandard reader.
+frame's plain bytes, so one record costs one frame. It is kept beside the bundles as Parquet with a
+Bloom filter on the identifier. Bundles open with any Zstandard reader.
 
 Payloads that are equal are found by digest: pages travel to their digest as two numbers, combined
 before the shuffle; only pages that revisit another come back to theirs.
@@ -20,15 +21,16 @@ from urllib.parse import quote
 import numpy as np
 import pandas as pd
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tilth.llm import files
-from tilth.llm._shared import checkpoint, fresh_dir, remove_dir, text_of
+from tilth.llm._shared import checkpoint, fresh_dir, join_counted, remove_dir, text_of
 
 SKIPPABLE, SEEKABLE = 0x184D2A5E, 0x8F92EAB1
 DATE = "1970-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
+RECORDS = "records.parquet"
 MAP = "page_id long, record_id string, path string, frame int, offset long, length long"
 
 
@@ -36,22 +38,26 @@ def record_id(page_id, url: str, digest: str) -> str:
     return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{page_id}\n{url}\n{digest}')}>"
 
 
+def target(url: str) -> str:
+    return quote(url, safe="%/:=&?~#+!$,;@()*[]")
+
+
 def sha1(data: bytes) -> str:
     return base64.b32encode(hashlib.sha1(data).digest()).decode()
 
 
-def record(page_id, url: str, payload: bytes, refers_to) -> tuple[str, bytes]:
+def record(page_id, url: str, payload: bytes, refers_to, refers_url: str = "") -> tuple[str, bytes]:
     """The identifier and the bytes of a page's record: a response, or a revisit where refers_to is given."""
     digest = sha1(payload)
     name = record_id(page_id, url, digest)
     block = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     if refers_to is None:
         block += payload
-    head = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: {name}", f"WARC-Date: {DATE}", f"WARC-Target-URI: {quote(url, safe='%/:=&?~#+!$,;@()*[]')}"]
+    head = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: {name}", f"WARC-Date: {DATE}", f"WARC-Target-URI: {target(url)}"]
     head += [f"WARC-Payload-Digest: sha1:{digest}", "Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}"]
     head += [f"Page-Id: {page_id}"] * (page_id is not None)
     if refers_to is not None:
-        head += [f"WARC-Profile: {PROFILE}", f"Refers-To-Page-Id: {refers_to}"]
+        head += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: {record_id(refers_to, refers_url, digest)}", f"WARC-Refers-To-Target-URI: {target(refers_url)}", f"Refers-To-Page-Id: {refers_to}"]
     return name, "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
@@ -106,14 +112,15 @@ class Bundle:
 
 
 def revisits(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
-    """page_id, digest and refers_to of the pages whose payload another page with a smaller id has."""
-    d = pages.select("page_id", F.unhex(F.sha1(F.col("html").cast("binary"))).alias("digest"), F.octet_length("html").alias("size")).filter(F.col("size") >= min_bytes)
-    first = d.groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.count("*").alias("n")).filter("n > 1").select("digest", "refers_to")
-    return d.join(first, "digest").filter("page_id > refers_to").select("page_id", "digest", "refers_to").distinct()
+    """page_id, digest, refers_to and refers_url of the pages whose payload another page with a smaller id has."""
+    d = pages.select("page_id", "url", F.unhex(F.sha1(F.col("html").cast("binary"))).alias("digest"), F.octet_length("html").alias("size")).filter((F.col("size") >= min_bytes) & F.col("page_id").isNotNull())
+    first = d.groupBy("digest").agg(F.min(F.struct("page_id", "url")).alias("first"), F.count("*").alias("n"))
+    met = join_counted(d.select("page_id", "digest"), first, ["digest"], d.count())
+    return met.select("page_id", "digest", F.col("first.page_id").alias("refers_to"), F.col("first.url").alias("refers_url")).filter("page_id > refers_to").distinct()
 
 
 def write_archives(pages: DataFrame, to: str, min_bytes: int = 0, frame_bytes: int = 512 << 10, bundle_bytes: int = 64 << 20, level: int = 3) -> DataFrame:
-    """Writes a record for each row of (page_id, url, html) into bundles below the URI `to`; returns the record map.
+    """Writes a record for each row of (page_id, url, html) into bundles below the URI `to`, and the record map beside them; returns that.
 
     Of equal payloads of min_bytes or more the smallest page_id is a response, others revisit it.
     Defined cases: null html and url are empty; rows that share the smallest page_id of a payload are
@@ -123,7 +130,7 @@ def write_archives(pages: DataFrame, to: str, min_bytes: int = 0, frame_bytes: i
     """
     own = pages.select(F.col("page_id").cast("long").alias("page_id"), text_of("url").alias("url"), text_of("html").alias("html"))
     keyed = own.withColumn("digest", F.unhex(F.sha1(F.col("html").cast("binary"))))
-    again = revisits(own, min_bytes).select(F.col("page_id").alias("again_id"), F.col("digest").alias("again_digest"), "refers_to")
+    again = revisits(own, min_bytes).select(F.col("page_id").alias("again_id"), F.col("digest").alias("again_digest"), "refers_to", "refers_url")
     joined = keyed.join(again, (F.col("page_id") == F.col("again_id")) & (F.col("digest") == F.col("again_digest")), "left")
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -151,9 +158,9 @@ def write_archives(pages: DataFrame, to: str, min_bytes: int = 0, frame_bytes: i
 
         at = total = 0
         for b in batches:
-            for page, url, html, refers in zip(b["page_id"], b["url"], b["html"], b["refers_to"], strict=True):
+            for page, url, html, refers, refers_url in zip(b["page_id"], b["url"], b["html"], b["refers_to"], b["refers_url"], strict=True):
                 page, refers = (None if pd.isna(x) else int(x) for x in (page, refers))
-                name, data = record(page, url, html.encode("utf-8", "surrogatepass"), refers)
+                name, data = record(page, url, html.encode("utf-8", "surrogatepass"), refers, refers_url)
                 map_rows.append((page, name, len(frames), at, len(data)))
                 plain.append(data)
                 at, total = at + len(data), total + len(data)
@@ -166,8 +173,20 @@ def write_archives(pages: DataFrame, to: str, min_bytes: int = 0, frame_bytes: i
         if map_rows:
             yield close_bundle()
 
-    dealt = joined.select("page_id", "url", "html", "refers_to").sortWithinPartitions("page_id", "url", "html")
-    return checkpoint(dealt.mapInPandas(work, MAP))
+    dealt = joined.select("page_id", "url", "html", "refers_to", "refers_url").sortWithinPartitions("page_id", "url", "html")
+    dealt.mapInPandas(work, MAP).write.option("parquet.bloom.filter.enabled#record_id", "true").parquet(f"{to}/{RECORDS}")
+    return record_map(pages.sparkSession, to)
+
+
+def record_map(spark: SparkSession, to: str) -> DataFrame:
+    """The record map of the archives below `to`."""
+    return spark.read.schema(MAP).parquet(f"{to}/{RECORDS}")
+
+
+def look_up(spark: SparkSession, to: str, record_id: str) -> bytes | None:
+    """One record by its identifier, at the cost of one frame; None if there is none."""
+    place = record_map(spark, to).filter(F.col("record_id") == record_id).orderBy("path", "frame", "offset").first()
+    return place and Bundle(place["path"]).record(place["frame"], place["offset"], place["length"])
 
 
 def read_archives(record_map: DataFrame) -> DataFrame:
