@@ -7,9 +7,10 @@ codewords at distance 4 or less: one or six of them. Words at distance 2 or less
 codeword: between them lies a word at distance 1 or less from both, which the perfect code decodes
 within distance 3. A join key is an equal segment with one Golay index of the next segment.
 
-Buckets of up to `small` fingerprints compare their members. Fuller buckets take an exact way whose
-groups are bounded: every fingerprint goes to the 65 words at distance 1 or less; two fingerprints
-link if and only if they meet at one, at most 65 meet there, and all of those link.
+Buckets of up to `small` fingerprints compare their members. Fuller ones are parted by the Golay
+indices of the third segment, which two near fingerprints share as well. What is fuller even then takes
+an exact way whose groups are bounded: every fingerprint goes to the 65 words at distance 1 or less;
+two fingerprints link if and only if they meet at one, at most 65 meet there, and all of those link.
 """
 
 from __future__ import annotations
@@ -113,14 +114,29 @@ def fingerprint_links(distinct: DataFrame, small: int = 32) -> DataFrame:
             at = np.nonzero(k >= 0)
             yield pd.DataFrame({"key": k[at], "fp": fp[at[0]]})
 
+    def parted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            key, fp = b["key"].to_numpy(np.int64), b["fp"].to_numpy(np.int64)
+            near = np.full((len(fp), 6), -1, np.int64)
+            for i, (at, n) in enumerate(SEGMENTS):
+                own = (key >> 34) == (i + 1) % 3  # this segment is the third of such keys
+                near[own] = golay_indices((fp[own].view(np.uint64) >> np.uint64(at)) & np.uint64((1 << n) - 1))
+            row, col = np.nonzero(near >= 0)
+            yield pd.DataFrame({"key": key[row], "third": near[row, col], "fp": fp[row]})
+
+    def pairs_in(rows: DataFrame, by: list[str]) -> DataFrame:
+        near = F.transform("fps", lambda a: F.transform(F.filter("fps", lambda b: (b > a) & (F.bit_count(a.bitwiseXOR(b)) <= 2)), lambda b: F.struct(a.alias("a"), b.alias("b"))))
+        return rows.groupBy(*by).agg(F.collect_list("fp").alias("fps")).select(F.explode(F.flatten(near)).alias("p")).select("p.a", "p.b")
+
     keyed = distinct.select("fp").mapInPandas(work, "key long, fp long")
     size = keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
-    crowd = checkpoint(size.filter(F.col("n") > small))
-    few = keyed.join(size.filter(F.col("n") <= small), "key").groupBy("key").agg(F.collect_list("fp").alias("fps"))
-    near = F.transform("fps", lambda a: F.transform(F.filter("fps", lambda b: (b > a) & (F.bit_count(a.bitwiseXOR(b)) <= 2)), lambda b: F.struct(a.alias("a"), b.alias("b"))))
-    pairs = few.select(F.explode(F.flatten(near)).alias("p")).select("p.a", "p.b").distinct()
+    crowd = size.filter(F.col("n") > small).select("key")
+    finer = checkpoint(keyed.join(crowd, "key", "left_semi").mapInPandas(parted, "key long, third long, fp long"))
+    size_3 = finer.groupBy("key", "third").agg(F.count("*").alias("n")).filter("n > 1")
+    pairs = pairs_in(keyed.join(size.filter(F.col("n") <= small), "key"), ["key"]).unionByName(pairs_in(finer.join(size_3.filter(F.col("n") <= small), ["key", "third"]), ["key", "third"])).distinct()
+    fullest = finer.join(size_3.filter(F.col("n") > small), ["key", "third"], "left_semi").select("fp").distinct()
     ball = F.concat(F.array("fp"), F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.expr("fp").bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), i))))
-    met = keyed.join(crowd.select("key"), "key", "left_semi").select("fp").distinct().select("fp", F.explode(ball).alias("mid")).groupBy("mid").agg(F.sort_array(F.collect_list("fp")).alias("fps")).filter(F.size("fps") > 1)
+    met = fullest.select("fp", F.explode(ball).alias("mid")).groupBy("mid").agg(F.sort_array(F.collect_list("fp")).alias("fps")).filter(F.size("fps") > 1)
     stars = met.select(F.get("fps", F.lit(0)).alias("a"), F.explode(F.slice("fps", 2, 65)).alias("b")).distinct()
     return pairs.unionByName(stars)
 
