@@ -9,6 +9,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tilth.operators.clean import field_hull
 from tilth.semantics import number, require_columns, right_closed_bin
 
 MODELS = ("Exp", "Sph", "Gau")
@@ -18,17 +19,18 @@ PRACTICAL = {"Exp": 3.0, "Sph": 1.0, "Gau": math.sqrt(3.0)}
 def pair_bins(points: DataFrame, value: str, x: str = "x", y: str = "y", cutoff: float = 1.0, n_bin: int = 15) -> DataFrame:
     """bin, h, gamma, n_pair over pairs no further apart than cutoff, in right-closed bins.
 
-    Pairs meet by equi-join on squares of side cutoff: one of two points goes to its own square and
-    the other to its nine neighbours, so the work grows with the pairs within reach, not with all.
+    Pairs meet by equi-join on squares of side cutoff: a point goes to its own square and to those
+    four of the eight around it that come later, so the work grows with the pairs within reach, not
+    with all, and no pair meets twice.
     """
     require_columns(points, value, x, y)
     own = points.select(number(x).alias("x"), number(y).alias("y"), number(value).alias("v")).dropna().withColumn("id", F.struct("x", "y", "v"))  # rows that are all the same have no distance
     own = own.withColumns({"cx": F.floor(F.col("x") / cutoff), "cy": F.floor(F.col("y") / cutoff)})
-    steps = F.array(*[F.lit(i) for i in (-1, 0, 1)])
-    around = own.select(F.col("id").alias("id2"), F.col("x").alias("x2"), F.col("y").alias("y2"), F.col("v").alias("v2"), "cx", "cy")
-    around = around.withColumn("dx", F.explode(steps)).withColumn("dy", F.explode(steps)).withColumns({"cx": F.col("cx") + F.col("dx"), "cy": F.col("cy") + F.col("dy")})
+    steps = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in ((0, 0), (0, 1), (1, -1), (1, 0), (1, 1))])
+    later = own.select(F.col("id").alias("id2"), F.col("x").alias("x2"), F.col("y").alias("y2"), F.col("v").alias("v2"), "cx", "cy", F.explode(steps).alias("s"))
+    later = later.select("id2", "x2", "y2", "v2", (F.col("cx") - F.col("s.i")).alias("cx"), (F.col("cy") - F.col("s.j")).alias("cy"), ((F.col("s.i") == 0) & (F.col("s.j") == 0)).alias("same"))
     h = F.sqrt(F.pow(F.col("x") - F.col("x2"), 2) + F.pow(F.col("y") - F.col("y2"), 2))
-    pairs = own.join(around, ["cx", "cy"]).filter(F.col("id") < F.col("id2")).select(h.alias("h"), (F.pow(F.col("v") - F.col("v2"), 2) / 2).alias("g")).filter((F.col("h") <= cutoff) & (F.col("h") > 0))
+    pairs = own.join(later, ["cx", "cy"]).filter(~F.col("same") | (F.col("id") < F.col("id2"))).select(h.alias("h"), (F.pow(F.col("v") - F.col("v2"), 2) / 2).alias("g")).filter((F.col("h") <= cutoff) & (F.col("h") > 0))
     return pairs.groupBy(F.least(right_closed_bin(F.col("h"), cutoff / n_bin), F.lit(n_bin)).alias("bin")).agg(F.avg("h").alias("h"), F.avg("g").alias("gamma"), F.count("*").alias("n_pair")).filter("n_pair >= 2")
 
 
@@ -100,19 +102,44 @@ def detrended(points: DataFrame, value: str, trend: list[str]) -> DataFrame:
     return ready.withColumn(value, F.col("_v") - fit).drop("_v", *(f"_z{i}" for i in range(k)))
 
 
+#: The fewest samples and pairs that a variogram is fitted to. Fixed values.
+LEAST_SAMPLES, LEAST_PAIRS = 10, 30
+
+
+def longest_distance(points: DataFrame, x: str = "x", y: str = "y") -> float:
+    """The largest distance between two points: it lies between two corners of their hull."""
+    corners = field_hull(points.select(number(x).alias("x"), number(y).alias("y")))
+    return max((float(np.hypot(*(corners - c).T).max()) for c in corners), default=0.0)
+
+
 def ofe_variogram(points: DataFrame, value: str, x: str = "x", y: str = "y", trend: list[str] | None = None, n_bin: int = 15, cutoff: float | None = None, model: str | None = None) -> tuple[DataFrame, Variogram]:
-    """The empirical bins and the best fit. The cutoff is a third of the diagonal unless given."""
-    own = detrended(points, value, trend) if trend else points
+    """The empirical bins and the best fit. The cutoff is a third of the longest distance unless given. ValueError under ten samples or thirty pairs."""
+    require_columns(points, value, x, y, *(trend or []))
+    if model is not None and model not in MODELS:
+        raise ValueError(f"unknown model: {model}")
+    own = points.filter(number(x).isNotNull() & number(y).isNotNull() & number(value).isNotNull())
+    own = detrended(own, value, trend) if trend else own
+    n = own.count()
+    if n < LEAST_SAMPLES:
+        raise ValueError(f"{n} samples are too few for a variogram")
     if cutoff is None:
-        b = own.agg(F.max(number(x)) - F.min(number(x)), F.max(number(y)) - F.min(number(y))).first()
-        cutoff = math.hypot(b[0], b[1]) / 3
+        cutoff = longest_distance(own, x, y) / 3
+    if not cutoff > 0:
+        raise ValueError("all samples are in one place")
     bins = pair_bins(own, value, x, y, cutoff, n_bin)
     rows = bins.orderBy("bin").collect()  # n_bin rows at most
+    if sum(r["n_pair"] for r in rows) < LEAST_PAIRS:
+        raise ValueError("too few pairs of samples lie within the cutoff")
     if len(rows) < 3:
-        raise ValueError("too few pairs for a variogram")
+        raise ValueError("fewer than three usable bins")
     return bins, fit_variogram([r["h"] for r in rows], [r["gamma"] for r in rows], [r["n_pair"] for r in rows], (model,) if model else MODELS)
 
 
+def identified(v: Variogram, bins: DataFrame) -> bool:
+    """Whether the practical range lies within the distances that were seen."""
+    return v.practical <= (bins.agg(F.max("h")).first()[0] or 0.0)
+
+
 def kriging_sample_interval(spark: SparkSession, nugget: float, psill: float, practical_range: float, model: str = "Exp", target_kse: float = 0.5, area_ha: float | None = None, n: int = 60) -> DataFrame:
     """interval, variance, rel_kse, floor, n_samples, chosen over n intervals from a twentieth of the range to twice it.
 
