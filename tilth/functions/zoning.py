@@ -35,31 +35,38 @@ def segment_profile(mean: np.ndarray, n: np.ndarray, k_max: int, min_len: int) -
     return out
 
 
-def choose_segments(found: list[tuple[float, np.ndarray]], m: int, n_obs: int) -> int:
-    """The number of segments of least BIC; squares are scaled to one observation a position."""
-    bic = [m * math.log(max(sse / n_obs * m, 1e-12) / m) + 2 * (k + 1) * math.log(m) for k, (sse, _) in enumerate(found)]
-    return int(np.argmin(bic)) + 1
+def segment_bic(found: list[tuple[float, np.ndarray]], m: int, n_obs: int) -> list[float]:
+    """BIC by number of segments; squares are scaled to one observation a position, for the profile's means are what is cut."""
+    return [m * math.log(max(sse / n_obs * m, np.finfo(float).eps) / m) + 2 * (k + 1) * math.log(m) for k, (sse, _) in enumerate(found)]
 
 
-def profile_range(mean: np.ndarray, spacing: float, steps: int = 150) -> float:
-    """The practical range of a profile by a log grid of exponential fits, half its extent at most; the spacing if it is short or flat."""
+def profile_range(mean: np.ndarray, spacing: float, extent: float, steps: int = 150) -> float:
+    """The practical range of a profile, half its extent at most; the spacing if it is short or flat.
+
+    Semivariances of the first half of the lags, weighted by pairs; for each range of a log grid the
+    exponential's nugget and sill follow in closed form, neither negative.
+    """
     m = len(mean)
-    if m < 6 or np.ptp(mean) < 1e-12:
-        return spacing
     lags = np.arange(1, max(3, m // 2) + 1)
+    if m < 6:
+        return spacing
     g = np.array([0.5 * np.mean((mean[k:] - mean[:-k]) ** 2) for k in lags])
-    w, h, best = (m - lags).astype(float), lags * spacing, (np.inf, spacing)
-    for a in np.geomspace(spacing / 4, m * spacing, steps):
-        x = np.column_stack([np.ones_like(h), 1 - np.exp(-h / a)])
-        sw = np.sqrt(w)
-        c, *_ = np.linalg.lstsq(x * sw[:, None], g * sw, rcond=None)
-        if c.min() < 0:
-            p = (w * x[:, 1] * g).sum() / (w * x[:, 1] ** 2).sum()
-            c = np.array([0.0, p])
-        sse = (w * (g - x @ c) ** 2).sum()
-        if sse < best[0]:
-            best = (sse, 3 * a)
-    return float(min(best[1], (m - 1) * spacing / 2))
+    if not np.isfinite(g).all() or np.ptp(g) == 0:
+        return spacing
+    w = (m - lags) / (m - lags).sum()
+    rise = 1 - np.exp(-lags[None] / np.geomspace(0.25, lags[-1], steps)[:, None])
+    off = rise - (rise @ w)[:, None]
+    with np.errstate(divide="ignore", invalid="ignore"):
+        sill = (off * (g - g @ w) * w).sum(axis=1) / (off**2 * w).sum(axis=1)
+        nugget = g @ w - sill * (rise @ w)
+        alone = (rise * g * w).sum(axis=1) / (rise**2 * w).sum(axis=1)
+    can = sill >= 0
+    sill, nugget = np.where(nugget < 0, alone, sill), np.maximum(nugget, 0)
+    sse = np.where(can, ((g - nugget[:, None] - sill[:, None] * rise) ** 2 * w).sum(axis=1), np.inf)
+    if not np.isfinite(sse).any():
+        return spacing
+    a = np.geomspace(0.25, lags[-1], steps)[int(np.nanargmin(sse))]
+    return float(min(3 * a * spacing, extent / 2))
 
 
 class Sets:
@@ -231,6 +238,8 @@ def partition(row, col, xy, z, edges, method: str = "rectangle", k: int | None =
     """
     n = len(z)
     min_cells = min_cells or max(5, math.ceil(0.02 * n))
+    if k and k > n // min_cells:
+        raise ValueError(f"{k} zones of {min_cells} cells or more need more than {n} cells")
     top = k or max(1, min(k_max, n // min_cells))
     if method == "rectangle":
         found = rectangle_cuts(row, col, z, top, min_cells)
