@@ -1 +1 @@
-
+"""Inputs: the published comparison, and geographic coordinates."""
