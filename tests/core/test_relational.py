@@ -3,7 +3,8 @@ import pytest
 
 from tilth import queries
 from tilth.operators import clean, design, grid, trials, variogram, zones
-from tilth.operators.maps import ink_on, ofe_map, ofe_palette
+from tilth.functions.colours import ink_on, ofe_palette
+from tilth.operators.maps import ofe_map
 
 SF = "/root/testdata/sf0.001"
 
@@ -109,9 +110,9 @@ def test_variogram_recovers_a_range(spark):
 def test_formula_and_maps(spark):
     s = spark.createDataFrame([("1", "ar1(row):ar1(col)"), ("2", "id(row):ar1(col)")], "zone string, structure string")
     assert zones.residual_formula(s) == "~ dsum(~ ar1(row):ar1(col) | zone, levels = [1]) + dsum(~ id(row):ar1(col) | zone, levels = [2])"
-    assert len(ofe_palette("diverging", 9)) == 9 and ink_on("#FFFFFF") == "#000000" and ink_on("#101010") == "#FFFFFF"
+    assert len(ofe_palette("residual", 9)) == 9 and ofe_palette("residual", 9)[4] == "#f0efec" and ink_on("#FFFFFF") == "#0b0b0b" and ink_on("#101010") == "#fcfcfb"
     m = ofe_map(cloud(spark), "treat").first()
-    assert m["xmax"] - m["xmin"] == 1.0 and m["fill"] in ofe_palette("categorical", 3)
+    assert m["xmax"] - m["xmin"] == 1.0 and m["fill"] in ofe_palette("treatment", 3)
 
 
 def test_cleaning_stream(spark, tmp_path):

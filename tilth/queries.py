@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tilth.functions import reml
+from tilth.functions.colours import MISSING, ofe_palette
 from tilth.operators import clean, counts, design, grid, kriging, maps, simulate, trials, variogram, zones
 from tilth.plans.views import prefix, view
+from tilth.sources import coordinates, known_answer as published
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -69,10 +69,10 @@ def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(
     """+
-b AS (SELECT x - min(x) OVER () AS x, y - min(y) OVER () AS y, treat FROM cloud_banded),
+b AS (SELECT x - min(x) OVER () AS x, y - min(y) OVER () AS y, yield, treat FROM cloud_banded WHERE x IS NOT NULL AND y IS NOT NULL),
 s AS (SELECT unnest([4.0, 8.0, 12.0, 20.0])::DOUBLE AS cell_size),
-c AS (SELECT cell_size, floor(x / cell_size) AS c, floor(y / cell_size) AS r, count(*) AS n, min(treat) = max(treat) AS one FROM b, s GROUP BY 1, 2, 3),
-t AS (SELECT cell_size, count(*) AS cells, median(n) AS median_obs, round_even(avg(one::INT), 3) AS pure, round_even(avg((one AND n >= 3)::INT), 3) AS usable FROM c GROUP BY 1)
+c AS (SELECT cell_size, floor(x / cell_size) + 1 AS c, floor(y / cell_size) + 1 AS r, count(yield) AS n, count(DISTINCT treat) AS k FROM b, s GROUP BY 1, 2, 3),
+t AS (SELECT cell_size, (max(c) * max(r))::BIGINT AS cells, count(*) FILTER (WHERE n > 0) AS occupied, round_even(count(*) FILTER (WHERE n > 0) / (max(c) * max(r)), 3) AS coverage, median(n) FILTER (WHERE n > 0) AS median_obs, round_even(avg((k = 1)::INT) FILTER (WHERE n > 0 AND k > 0), 3) AS pure, count(*) FILTER (WHERE n >= 3 AND k = 1) AS usable FROM c GROUP BY 1)
 SELECT *, coalesce(cell_size = (SELECT min(cell_size) FROM t WHERE median_obs >= 3 AND pure >= 0.7), false) AS chosen FROM t""",
     ("cloud_banded",),
 )
@@ -80,6 +80,22 @@ def choose_cell_size(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grid.choose_cell_size(view(spark, sf_dir, "cloud_banded"), "yield", "x", "y", "treat", [4.0, 8.0, 12.0, 20.0])
 
 
+@register()
+def choose_cell_size_by_default(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return grid.choose_cell_size(view(spark, sf_dir, "points").dropDuplicates(["x", "y"]), "value", "x", "y")
+
+
+@register(
+    CELLS.format(view="cloud", w="9.0")
+    + """
+SELECT row, col, x0 + (col - 0.5) * 9.0 AS x_centre, y0 + (row - 0.5) * 9.0 AS y_centre, CASE WHEN count(yield) >= 15 THEN round(median(yield), 6) END AS yield, count(yield) AS n_obs FROM c GROUP BY row, col, x0, y0""",
+    ("cloud",),
+)
+def grid_medians(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = grid.grid_dense_layer(view(spark, sf_dir, "cloud"), "x", "y", "yield", None, 9.0, "median", n_min=15, keep_empty=False)
+    return g.select("row", "col", "x_centre", "y_centre", *_r("yield"), "n_obs")
+
+
 CLEAN = """+
 g AS (SELECT *, median(yield) OVER () AS m, median(speed) OVER () AS sm, greatest(max(x) OVER () - min(x) OVER (), max(y) OVER () - min(y) OVER ()) / 20 AS side, min(x) OVER () AS x0, min(y) OVER () AS y0 FROM cloud),
 h AS (SELECT *, 1.4826 * median(abs(yield - m)) OVER () AS s, 1.4826 * median(abs(speed - sm)) OVER () AS ss, abs(yield - median(yield) OVER (PARTITION BY floor((x - x0) / side), floor((y - y0) / side))) AS dev FROM g),
@@ -128,19 +144,24 @@ def clean_edge(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(
     """+
-s AS (SELECT seq, pass, x, y, x - lag(x) OVER w AS sx, y - lag(y) OVER w AS sy, x - lag(x, 3) OVER w AS bx, y - lag(y, 3) OVER w AS by_, lead(x, 3) OVER w - x AS ax, lead(y, 3) OVER w - y AS ay FROM track WINDOW w AS (PARTITION BY pass ORDER BY seq)),
+s AS (SELECT seq, trial, count(*) OVER (PARTITION BY trial) AS points, x - lag(x) OVER w AS sx, y - lag(y) OVER w AS sy, x - lag(x, 3) OVER w AS bx, y - lag(y, 3) OVER w AS by_, lead(x, 3) OVER w - x AS ax, lead(y, 3) OVER w - y AS ay FROM tracks WINDOW w AS (PARTITION BY trial ORDER BY seq)),
 t AS (SELECT *, sqrt(sx * sx + sy * sy) AS step FROM s),
-u AS (SELECT *, (SELECT median(step) FROM t WHERE step > 0) AS usual FROM t)
-SELECT seq, pass, coalesce(step > 4 * usual, false) OR coalesce(bx * ax + by_ * ay < 0, false) AS is_break FROM u""",
-    ("track",),
+u AS (SELECT trial, median(step) AS usual FROM t WHERE step > 0 GROUP BY trial)
+SELECT seq, t.trial, coalesce(step > 4 * usual, false) OR coalesce(points > 7 AND bx * ax + by_ * ay < 0, false) AS is_break FROM t LEFT JOIN u ON t.trial = u.trial""",
+    ("tracks",),
 )
 def pass_breaks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return clean.pass_breaks(view(spark, sf_dir, "track"), "seq", by="pass").select("seq", "pass", "is_break")
+    return clean.pass_breaks(view(spark, sf_dir, "tracks"), "seq", by="trial").select("seq", "trial", "is_break")
 
 
 @register()
 def derive_passes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return clean.derive_passes(view(spark, sf_dir, "track").withColumnRenamed("pass", "trial"), "seq").groupBy("trial", "pass").agg(F.count("*").alias("n"))
+    return clean.derive_passes(view(spark, sf_dir, "tracks"), "seq").groupBy("trial", "pass").agg(F.count("*").alias("n"))
+
+
+@register()
+def derive_passes_by_place(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clean.derive_passes(view(spark, sf_dir, "tracks")).groupBy("trial", "pass").agg(F.count("*").alias("n"))
 
 
 @register(
@@ -156,12 +177,18 @@ def make_trial_design(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(
     """WITH p AS (SELECT i + 1 AS plot, ['A', 'B'][i % 2 + 1] AS treat, floor(i / 2) + 1 AS rep, i * 18.0 AS x0 FROM range(4) t(i)),
-s AS (SELECT *, k + 1 AS station, q + 1 AS quadrat, 20 + (k + 0.25) * (198.0 - 40) / 8 AS along FROM p, range(8) t(k), range(2) u(q))
-SELECT plot::INT AS plot, 1 AS tier, treat, rep::INT AS rep, station::INT AS station, quadrat::INT AS quadrat, (x0 + 9 + (quadrat - 1.5) * 2.5)::DOUBLE AS x, round(along, 6)::DOUBLE AS y, round(along, 6)::DOUBLE AS along FROM s"""
+u AS (SELECT *, k + 1 AS station, q + 1 AS quadrat, ('0x' || substr(md5(concat_ws('|', 1, 'x', plot, k + 1, q + 1)), 1, 8))::UBIGINT / 4294967296.0 AS ux, ('0x' || substr(md5(concat_ws('|', 1, 'y', plot, k + 1, q + 1)), 1, 8))::UBIGINT / 4294967296.0 AS uy FROM p, range(8) t(k), range(2) v(q)),
+s AS (SELECT *, least(greatest(20 + (station - 1 + 0.25) * 160.0 / 8 + (2 * uy - 1) * 2.5, 20), 180) AS along FROM u)
+SELECT plot::INT AS plot, 1 AS tier, treat, rep::INT AS rep, station::INT AS station, quadrat::INT AS quadrat, round(x0 + 2 + ux * 14, 6)::DOUBLE AS x, round(along, 6)::DOUBLE AS y, round(along, 6)::DOUBLE AS along FROM s"""
 )
 def place_count_stations(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = design.make_trial_design(spark, ["A", "B"], 2, randomise=False)
-    return design.place_count_stations(d, start=0.25).withColumns({"y": F.round("y", 6), "along": F.round("along", 6)})
+    return design.place_count_stations(d, start=0.25, plot_width=18.0, plot_length=200.0).withColumns({c: F.round(c, 6) for c in ("x", "y", "along")})
+
+
+@register()
+def place_random_stations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return design.place_count_stations(design.make_trial_design(spark, ["A", "B"], 2), layout="random", cell_size=9.0)
 
 
 @register()
@@ -190,6 +217,17 @@ def count_precision(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.count_precision(spark, [4, 8, 16])
 
 
+@register()
+def count_sample_size(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return counts.count_sample_size(spark, 0.2, 16)
+
+
+@register()
+def ofe_variogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bins, v = variogram.ofe_variogram(view(spark, sf_dir, "points"), "value", trend=["x"])
+    return spark.createDataFrame([(v.model, v.nugget, v.psill, v.a, v.practical, variogram.identified(v, bins))], "model string, nugget double, psill double, range double, practical double, identified boolean")
+
+
 @register(
     """+
 p AS (SELECT a.id, sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) AS h, (a.value - b.value) ** 2 / 2 AS g FROM points a JOIN points b ON a.id < b.id)
@@ -226,6 +264,11 @@ def cv_krige_surface(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kriging.cv_krige_surface(_samples(spark, sf_dir), "value")
 
 
+@register()
+def cv_krige_residuals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kriging.cv_krige_residuals(_samples(spark, sf_dir), "value")
+
+
 @register(
     """+
 c AS (SELECT DISTINCT CAST(floor(x / 12) + 1 AS INTEGER) AS col, CAST(floor(y / 9) + 1 AS INTEGER) AS row FROM cloud)
@@ -295,9 +338,107 @@ def fit_ofe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trials.fit_trials(_trial_cells(spark, sf_dir), "trial", "yield ~ treat + speed")
 
 
+PLAIN = "~ id(row):id(col)"
+TRIALS = """+
+g AS (SELECT pass % 3 AS trial, CAST(floor(y / 12) + 1 AS INTEGER) AS row, CAST(floor(x / 20) + 1 AS INTEGER) AS col, treat, avg(yield) AS yield, avg(speed) AS speed FROM cloud_banded GROUP BY 1, 2, 3, 4),
+k AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY trial, row, col ORDER BY treat) AS k FROM g) WHERE k = 1),
+t AS (SELECT trial, treat, count(*) AS n, avg(yield) AS m, sum(yield * yield) - sum(yield) ** 2 / count(*) AS ss FROM k GROUP BY 1, 2),
+e AS (SELECT trial, sum(ss) / (sum(n) - count(*)) AS s2, sum(n * m) / sum(n) AS all_m, sum(n) AS all_n, count(*) AS levels FROM t GROUP BY 1)"""
+
+
 @register()
 def ofe_lsd(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return trials.trial_means(_trial_cells(spark, sf_dir), "trial", "treat", "yield ~ treat", residual="~ id(row):id(col)")
+    return trials.trial_means(_trial_cells(spark, sf_dir), "trial", "treat", "yield ~ treat", residual=PLAIN)
+
+
+@register(
+    TRIALS + " SELECT t.trial, treat AS level, round(m, 4) AS mean, round(sqrt(s2 / n), 4) AS std_error FROM t JOIN e ON t.trial = e.trial",
+    ("cloud_banded",),
+)
+def ofe_means(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = trials.trial_means(_trial_cells(spark, sf_dir), "trial", "treat", "yield ~ treat", residual=PLAIN)
+    return m.select("trial", "level", F.round("mean", 4).alias("mean"), F.round("std_error", 4).alias("std_error"))
+
+
+@register(
+    TRIALS
+    + """, w AS (SELECT t.trial, 'treat' AS term, (max(levels) - 1)::BIGINT AS df, sum(n * (m - all_m) ** 2) / max(s2) AS wald FROM t JOIN e ON t.trial = e.trial GROUP BY 1)
+SELECT trial, term, df, round(wald, 3) AS wald, round(wald / df, 3) AS f FROM w""",
+    ("cloud_banded",),
+)
+def wald_tests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w = trials.trial_wald(_trial_cells(spark, sf_dir), "trial", "yield ~ treat", residual=PLAIN)
+    return w.filter("term = 'treat'").select("trial", "term", "df", F.round("wald", 3).alias("wald"), F.round("f", 3).alias("f"))
+
+
+@register()
+def wald_tests_spatial(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trials.trial_wald(_trial_cells(spark, sf_dir), "trial", "yield ~ treat + speed")
+
+
+@register()
+def ofe_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trials.trial_pairs(_trial_cells(spark, sf_dir), "trial", "treat", "yield ~ treat", residual=PLAIN, adjust="tukey")
+
+
+@register()
+def compact_letters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trials.letters(trials.trial_pairs(_trial_cells(spark, sf_dir), "trial", "treat", "yield ~ treat", residual=PLAIN), "trial")
+
+
+@register(
+    TRIALS
+    + """, a AS (SELECT * FROM t WHERE treat = 'A')
+SELECT t.trial, CASE WHEN t.treat = 'A' THEN '(Intercept)' ELSE 'treat' || t.treat END AS term, round(CASE WHEN t.treat = 'A' THEN t.m ELSE t.m - a.m END, 4) AS estimate, round(sqrt(s2 * (1.0 / a.n + CASE WHEN t.treat = 'A' THEN 0 ELSE 1.0 / t.n END)), 4) AS std_error FROM t JOIN e ON t.trial = e.trial JOIN a ON t.trial = a.trial""",
+    ("cloud_banded",),
+)
+def fit_integrated_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = trials.fit_integrated(_trial_cells(spark, sf_dir), "trial", "yield", "treat", engine="lm")
+    return f.select("trial", "term", F.round("estimate", 4).alias("estimate"), F.round("std_error", 4).alias("std_error"))
+
+
+@register()
+def fit_integrated_reml(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trials.fit_integrated(_trial_cells(spark, sf_dir), "trial", "yield", "treat", ["speed"])
+
+
+@register()
+def fit_integrated_exp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trials.fit_integrated(_trial_cells(spark, sf_dir), "trial", "yield", "treat", ["speed"], engine="exp")
+
+
+@register()
+def compare_integration(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trials.compare_integration(_trial_cells(spark, sf_dir), "trial", "yield", "treat", ["speed"])
+
+
+def _cores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return view(spark, sf_dir, "cores")
+
+
+@register(
+    TRIALS
+    + """, s AS (SELECT trial, row, col, avg(core) AS core FROM cores WHERE core IS NOT NULL GROUP BY 1, 2, 3)
+SELECT k.trial::BIGINT AS trial, k.row, k.col, k.treat, round(k.yield, 4) AS yield, round(s.core, 4) AS core FROM k LEFT JOIN s ON k.trial = s.trial AND k.row = s.row AND k.col = s.col""",
+    ("cloud_banded", "cores"),
+)
+def joint_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t, _ = trials.joint_table(_trial_cells(spark, sf_dir), _cores(spark, sf_dir), "core")
+    return t.select(F.col("trial").cast("long").alias("trial"), "row", "col", "treat", F.round("yield", 4).alias("yield"), F.round("core", 4).alias("core"))
+
+
+@register(
+    TRIALS + " SELECT c.trial::INT AS trial, count(*) AS n_off FROM cores c LEFT JOIN k ON k.trial = c.trial AND k.row = c.row AND k.col = c.col WHERE core IS NOT NULL AND k.trial IS NULL GROUP BY 1",
+    ("cloud_banded", "cores"),
+)
+def samples_off_the_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trials.joint_table(_trial_cells(spark, sf_dir), _cores(spark, sf_dir), "core")[1].select(F.col("trial").cast("int").alias("trial"), "n_off")
+
+
+@register()
+def fit_integrated_joint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sim = simulate.simulate_ofe_trial(spark, [1, 2], 12, 9, n_point_samples=40).withColumnRenamed("seed", "trial")
+    return trials.fit_integrated_joint(sim.drop("point_true", "point_obs"), sim.select("trial", "row", "col", "point_obs"), "dense_response", "point_obs", residual="id")
 
 
 @register()
@@ -305,19 +446,32 @@ def partition_paddock(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trials.partition_paddock(_trial_cells(spark, sf_dir), "trial", ["yield", "speed"], "skater", min_r2=0.0)
 
 
+@register()
+def paddock_zones(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trials.paddock_zones(_trial_cells(spark, sf_dir), "trial", ["yield", "speed"], "rectangle", "treat", k=2)
+
+
+@register()
+def paddock_criteria(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trials.paddock_criteria(_trial_cells(spark, sf_dir), "trial", ["yield", "speed"], "kmeans", criterion="ch")
+
+
+PROFILE = {"max_zones": 4, "min_width": 2.0, "treat": "treat"}
+
+
 @register()
 def partition_pseudo_env(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return trials.partition_pseudo_env(_trial_cells(spark, sf_dir), "trial", "yield", "col", max_zones=4, min_width=2.0, treat="treat")
+    return trials.partition_pseudo_env(_trial_cells(spark, sf_dir), "trial", "yield", "col", **PROFILE)
 
 
-def _integration(g: pd.DataFrame) -> pd.DataFrame:
-    return reml.compare_integration(reml.fit_integrated(g, "yield", "treat", engine="lm"), reml.fit_integrated(g, "yield", "treat", ["speed"], engine="lm"))
+@register()
+def pseudo_env_zones(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trials.pseudo_env_zones(_trial_cells(spark, sf_dir), "trial", "yield", "col", method="equal", n_zones=3, treat="treat")
 
 
 @register()
-def compare_integration(spark: SparkSession, sf_dir: str) -> DataFrame:
-    schema = "term string, estimate_baseline double, std_error_baseline double, estimate_integrated double, std_error_integrated double, estimate_change double, se_change double"
-    return trials.per_trial(_trial_cells(spark, sf_dir), "trial", schema, _integration)
+def pseudo_env_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trials.pseudo_env_choice(_trial_cells(spark, sf_dir), "trial", "yield", "col", **PROFILE)
 
 
 @register()
@@ -327,16 +481,83 @@ def simulate_ofe_trial(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register()
 def simulate_paddock(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simulate.simulate_paddock(spark, [1, 2])
+    return simulate.simulate_paddock(spark, [1, 2], n_zones=2, treatments=["N0", "N60", "N120"], zone_effect=[1.0, 0.5])
+
+
+@register()
+def paddock_truth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simulate.paddock_truth(simulate.simulate_paddock(spark, [1, 2]), ["elevation", "clay"])
 
 
 @register()
 def simulate_yield_monitor(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simulate.simulate_yield_monitor(spark, [1])
+    return simulate.simulate_yield_monitor(spark, [1], simulate.Harvest(defects=simulate.Defects()))
 
 
 @register()
+def simulate_yield_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simulate.simulate_yield_samples(spark, [1], design="strip_ends")
+
+
+def _map_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return grid.grid_dense_layer(view(spark, sf_dir, "cloud"), "x", "y", "speed", None, 9.0)
+
+
+@register(
+    CELLS.format(view="cloud", w="9.0")
+    + f""",
+m AS (SELECT row, col, avg(speed) AS value FROM c GROUP BY row, col),
+s AS (SELECT max(row) AS rows, max(col) AS cols, min(x0) AS x0, min(y0) AS y0 FROM c),
+l AS (SELECT r.row, k.col, x0, y0 FROM s, (SELECT CAST(unnest(range(1, (SELECT rows FROM s) + 1)) AS INTEGER) AS row) r, (SELECT CAST(unnest(range(1, (SELECT cols FROM s) + 1)) AS INTEGER) AS col) k),
+v AS (SELECT x0 + (l.col - 1) * 9.0 AS xmin, y0 + (l.row - 1) * 9.0 AS ymin, value, min(value) OVER () AS lo, max(value) OVER () AS hi FROM l LEFT JOIN m USING (row, col))
+SELECT xmin, xmin + 9.0 AS xmax, ymin, ymin + 9.0 AS ymax, round(value, 6) AS value, coalesce({ofe_palette("surface", 64)}[least(greatest(ceil((value - lo) / (hi - lo) * 64), 1), 64)::INT], '{MISSING}') AS fill FROM v""",
+    ("cloud",),
+)
 def ofe_map(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return maps.ofe_map(grid.grid_dense_layer(view(spark, sf_dir, "cloud"), "x", "y", "yield", None, 9.0), "yield")
+    return maps.ofe_map(_map_cells(spark, sf_dir), "speed").withColumn("value", F.round("value", 6))
+
+
+@register()
+def map_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maps.map_key(_map_cells(spark, sf_dir), "speed")
+
+
+@register(
+    f"""WITH p AS (SELECT i, ['A', 'B', 'C'][i % 3 + 1] AS treat FROM range(12) t(i)),
+c AS (SELECT unnest({ofe_palette("treatment", 3)}) AS fill, unnest(['A', 'B', 'C']) AS treat, unnest({["#0b0b0b"] * 3}) AS ink)
+SELECT 'plot' AS kind, i * 18.0::DOUBLE AS xmin, (i + 1) * 18.0::DOUBLE AS xmax, 0.0::DOUBLE AS ymin, 198.0::DOUBLE AS ymax, p.treat AS label, fill FROM p JOIN c ON p.treat = c.treat
+UNION ALL SELECT 'replicate', r * 54.0, (r + 1) * 54.0, 0.0, 198.0, (r + 1)::VARCHAR, NULL FROM range(4) t(r)"""
+)
+def draw_design(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maps.draw_design(design.make_trial_design(spark, ["A", "B", "C"], 4, randomise=False)).drop("ink")
+
+
+@register()
+def draw_zones(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maps.draw_zones(view(spark, sf_dir, "cloud").select(F.floor(F.col("x") / 12).alias("col"), F.floor(F.col("y") / 9).alias("row"), (F.col("pass") % 4 + 1).alias("zone")).groupBy("row", "col").agg(F.min("zone").alias("zone")))
+
+
+@register()
+def draw_stations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = design.make_trial_design(spark, ["A", "B"], 2)
+    return maps.draw_stations(design.place_count_stations(d), d)
+
 
+@register(" UNION ALL ".join(f"SELECT {y} AS year, '{a}' AS analysis, {n} AS rounds, {e}::DOUBLE AS median_error, {'NULL' if c is None else c}::DOUBLE AS change, {'NULL' if b is None else b}::DOUBLE AS better_than_none" for y, a, n, e, c, b in published.ROWS))
+def known_answer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return published.known_answer(spark)
 
+
+@register(
+    """+
+p AS (SELECT id, 140 + x / 1000 AS long, -33 + y / 1000 AS lat FROM points),
+q AS (SELECT id, (long - avg(long) OVER ()) * 111320.0 * cos(avg(lat) OVER () * pi() / 180) AS x, (lat - avg(lat) OVER ()) * 110540.0 AS y FROM p),
+a AS (SELECT 0.5 * atan2(2 * covar_samp(x, y), var_samp(x) - var_samp(y)) AS t FROM q),
+r AS (SELECT id, x, y, x * cos(t) + y * sin(t) AS along, y * cos(t) - x * sin(t) AS across FROM q, a)
+SELECT id, round(x, 4) AS x, round(y, 4) AS y, round(along - min(along) OVER (), 4) AS along, round(across - min(across) OVER (), 4) AS across FROM r""",
+    ("points",),
+)
+def project_coordinates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = view(spark, sf_dir, "points").select("id", (140 + F.col("x") / 1000).alias("long"), (-33 + F.col("y") / 1000).alias("lat"))
+    t = coordinates.along_and_across(coordinates.project(p))
+    return t.select("id", *[F.round(c, 4).alias(c) for c in ("x", "y", "along", "across")])
