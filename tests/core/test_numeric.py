@@ -450,6 +450,20 @@ def test_cell_function_and_default_sizes(spark):
     assert [r["chosen"] for r in t] == [False, True, False, False, False, False, False] and t[0]["pure"] is None and t[1]["usable"] == 25
 
 
+def test_complete_lattices_are_solved_by_axis():
+    d = grid(9, 7).sample(frac=1, random_state=3)
+    res = reml.Residual(parse_residual("~ ar1(row):ar1(col)"), d)
+    lattice, rng = reml.Lattice.of(res), np.random.default_rng(18)
+    x, y = np.column_stack([np.ones(63), rng.normal(size=63)]), rng.normal(size=63)
+    for theta in ([0.7, 0.4], [-0.5, 0.9]):
+        for a, b in zip(lattice.solve(y, x, np.array(theta)), reml._solve(y, x, res.matrix(np.array(theta), 63)), strict=True):
+            assert np.allclose(a, b)
+    assert reml.Lattice.of(reml.Residual(parse_residual("~ id(row):exp(col)"), d)) is not None
+    assert reml.Lattice.of(reml.Residual(parse_residual("~ ar1(row):ar1(col)"), d.iloc[1:])) is None
+    c = np.linalg.cholesky(res.matrix(np.array([0.3, 0.2]), 63))
+    assert np.allclose(reml._forward(c, x, 8), np.linalg.solve(c, x))
+
+
 def test_projection(spark):
     d = spark.createDataFrame([(150.0 + k * 1e-4, -30.0 + k * 1e-4) for k in range(50)] + [(None, 1.0)], "long double, lat double")
     p = coordinates.along_and_across(coordinates.project(d)).toPandas()
