@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tilth.functions.colours import MISSING, ofe_palette
+from tilth.functions.colours import MISSING, ink_on, ofe_palette
 from tilth.operators import clean, counts, design, grid, kriging, maps, simulate, trials, variogram, zones
 from tilth.plans.views import prefix, view
 from tilth.sources import coordinates, known_answer as published
@@ -136,10 +136,13 @@ def clean_pass_end(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.select("seq", "pass", F.coalesce(F.col("`.reason`") == "pass_end", F.lit(False)).alias("is_end"))
 
 
-@register()
+@register(
+    """+ SELECT id, yield IS NOT NULL AND least(x, 100 - x, y, 60 - y) < 7.5 AS is_edge FROM square""",
+    ("square",),
+)
 def clean_edge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = clean.clean_yield_monitor(view(spark, sf_dir, "cloud"), outlier_mad=None, edge_buffer=10.0, drop=False)
-    return m.groupBy(F.col("`.reason`").alias("reason")).agg(F.count("*").alias("n"))
+    m = clean.clean_yield_monitor(view(spark, sf_dir, "square"), outlier_mad=None, edge_buffer=7.5, drop=False)
+    return m.select("id", F.coalesce(F.col("`.reason`") == "edge", F.lit(False)).alias("is_edge"))
 
 
 @register(
@@ -191,6 +194,19 @@ def place_random_stations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return design.place_count_stations(design.make_trial_design(spark, ["A", "B"], 2), layout="random", cell_size=9.0)
 
 
+@register(
+    CELLS.format(view="cloud", w="9.0")
+    + """,
+s AS (SELECT max(row) AS rows, max(col) AS cols, min(x0) AS x0, min(y0) AS y0 FROM c),
+l AS (SELECT r.row, k.col, x0 + (k.col - 0.5) * 9.0 AS x_centre, y0 + (r.row - 0.5) * 9.0 AS y_centre FROM s, (SELECT CAST(unnest(range(1, (SELECT rows FROM s) + 1)) AS INTEGER) AS row) r, (SELECT CAST(unnest(range(1, (SELECT cols FROM s) + 1)) AS INTEGER) AS col) k)
+SELECT row, col, x_centre, y_centre FROM l ORDER BY ('0x' || substr(md5(concat_ws('|', 1, x_centre, y_centre)), 1, 8))::UBIGINT, x_centre, y_centre LIMIT 30""",
+    ("cloud",),
+)
+def place_random_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = grid.grid_dense_layer(view(spark, sf_dir, "cloud"), "x", "y", "yield", None, 9.0)
+    return design.place_point_samples(g, 30, "random", "x_centre", "y_centre").select("row", "col", "x_centre", "y_centre")
+
+
 @register()
 def place_point_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = grid.grid_dense_layer(view(spark, sf_dir, "cloud"), "x", "y", "yield", "treat", 9.0)
@@ -206,10 +222,19 @@ def strip_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.withColumns({"density": F.round("density", 6), "response": F.round("response", 6)})
 
 
-@register()
+# Blocks are complete, so least squares are differences of means; 2.1447866879169273 is Student's 0.975 quantile on 14 degrees of freedom, and a tail of F on 2 degrees has a closed form.
+@register(
+    """+
+r AS (SELECT strip, min(treat) AS treat, min(block) AS block, ln((sum(count) + 0.5) / sum(area)) AS y FROM quadrats GROUP BY strip),
+m AS (SELECT *, avg(y) OVER (PARTITION BY treat) AS mt, avg(y) OVER (PARTITION BY block) AS mb, avg(y) OVER () AS ma FROM r),
+e AS (SELECT sum((y - mt - mb + ma) ** 2) / 14 AS s2, sum((mt - ma) ** 2) / 2 AS ms FROM m),
+t AS (SELECT DISTINCT treat, mt FROM m)
+SELECT t.treat, round(exp(t.mt - a.mt), 6) AS ratio, round(exp(t.mt - a.mt - 2.1447866879169273 * sqrt(s2 / 4)), 6) AS lower, round(exp(t.mt - a.mt + 2.1447866879169273 * sqrt(s2 / 4)), 6) AS upper, round(ms / s2, 6) AS f, round((1 + ms / s2 / 7) ** -7, 6) AS p FROM t, e, t a WHERE a.treat = '0' AND t.treat <> '0'""",
+    ("quadrats",),
+)
 def analyse_strip_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = counts.analyse_strip_counts(view(spark, sf_dir, "quadrats"), "count", "strip", "treat", "block", "area")
-    return spark.createDataFrame([(*r, a["f"], a["p"]) for r in a["ratios"]], "treat string, ratio double, lower double, upper double, f double, p double")
+    return spark.createDataFrame([(*r, a["f"], a["p"]) for r in a["ratios"]], "treat string, ratio double, lower double, upper double, f double, p double").select("treat", *_r("ratio", "lower", "upper", "f", "p"))
 
 
 @register()
@@ -464,9 +489,18 @@ def partition_pseudo_env(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trials.partition_pseudo_env(_trial_cells(spark, sf_dir), "trial", "yield", "col", **PROFILE)
 
 
-@register()
+@register(
+    TRIALS
+    + """, p AS (SELECT trial, col, count(*) AS n FROM k WHERE yield IS NOT NULL AND treat IS NOT NULL GROUP BY 1, 2),
+d AS (SELECT trial, col, n, col - lag(col) OVER (PARTITION BY trial ORDER BY col) AS gap FROM p),
+b AS (SELECT trial, min(col) - median(gap) / 2 AS low, max(col) + median(gap) / 2 AS high FROM d GROUP BY trial),
+z AS (SELECT trial, unnest([1, 2, 3])::INT AS zone, low, high FROM b),
+q AS (SELECT trial, zone, low + (high - low) * (zone - 1) / 3 AS s, low + (high - low) * zone / 3 AS t FROM z)
+SELECT q.trial, zone, round(s, 6) AS start, round(t, 6) AS "end", round(t - s, 6) AS width, coalesce(sum(n), 0)::BIGINT AS n FROM q LEFT JOIN p ON p.trial = q.trial AND p.col > s AND p.col <= t GROUP BY q.trial, zone, s, t""",
+    ("cloud_banded",),
+)
 def pseudo_env_zones(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return trials.pseudo_env_zones(_trial_cells(spark, sf_dir), "trial", "yield", "col", method="equal", n_zones=3, treat="treat")
+    return trials.pseudo_env_zones(_trial_cells(spark, sf_dir), "trial", "yield", "col", method="equal", n_zones=3, treat="treat").select("trial", "zone", *_r("start", "end", "width"), "n")
 
 
 @register()
@@ -517,9 +551,16 @@ def ofe_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     return maps.ofe_map(_map_cells(spark, sf_dir), "speed").withColumn("value", F.round("value", 6))
 
 
-@register()
+@register(
+    CELLS.format(view="cloud", w="9.0")
+    + f""",
+m AS (SELECT avg(speed) AS value FROM c GROUP BY row, col), r AS (SELECT min(value) AS lo, max(value) AS hi FROM m),
+k AS (SELECT unnest(range(64)) AS i, unnest({ofe_palette("surface", 64)}) AS fill)
+SELECT i::INT AS place, CAST(NULL AS VARCHAR) AS label, round(lo + (hi - lo) * i / 64, 6) AS low, round(lo + (hi - lo) * (i + 1) / 64, 6) AS high, fill FROM k, r""",
+    ("cloud",),
+)
 def map_key(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return maps.map_key(_map_cells(spark, sf_dir), "speed")
+    return maps.map_key(_map_cells(spark, sf_dir), "speed").select("place", "label", *_r("low", "high"), "fill")
 
 
 @register(
@@ -532,9 +573,17 @@ def draw_design(spark: SparkSession, sf_dir: str) -> DataFrame:
     return maps.draw_design(design.make_trial_design(spark, ["A", "B", "C"], 4, randomise=False)).drop("ink")
 
 
-@register()
+@register(
+    f"""+
+z AS (SELECT CAST(floor(y / 9) AS BIGINT) AS row, CAST(floor(x / 12) AS BIGINT) AS col, CAST(min(floor(x / 60)) + 1 AS BIGINT) AS zone FROM cloud GROUP BY 1, 2),
+f AS (SELECT unnest({ofe_palette("zone", 4)}) AS fill, unnest({[ink_on(c) for c in ofe_palette("zone", 4)]}) AS ink, unnest([1, 2, 3, 4]) AS zone)
+SELECT 'cell' AS kind, col - 0.5::DOUBLE AS xmin, col + 0.5::DOUBLE AS xmax, row - 0.5::DOUBLE AS ymin, row + 0.5::DOUBLE AS ymax, zone::VARCHAR AS label, fill, NULL AS ink FROM z JOIN f USING (zone)
+UNION ALL SELECT 'label', median(col), median(col), median(row), median(row), zone::VARCHAR, fill, ink FROM z JOIN f USING (zone) GROUP BY zone, fill, ink""",
+    ("cloud",),
+)
 def draw_zones(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return maps.draw_zones(view(spark, sf_dir, "cloud").select(F.floor(F.col("x") / 12).alias("col"), F.floor(F.col("y") / 9).alias("row"), (F.col("pass") % 4 + 1).alias("zone")).groupBy("row", "col").agg(F.min("zone").alias("zone")))
+    cells = view(spark, sf_dir, "cloud").select(F.floor(F.col("x") / 12).alias("col"), F.floor(F.col("y") / 9).alias("row"), (F.floor(F.col("x") / 60) + 1).alias("zone"))
+    return maps.draw_zones(cells.groupBy("row", "col").agg(F.min("zone").alias("zone")))
 
 
 @register()
