@@ -57,6 +57,25 @@ def test_stages_take_effect_and_keep_columns(spark, tmp_path):
     assert frame.count()
 
 
+def test_one_large_group_about_the_threshold(spark):
+    r = random.Random(6)
+    base = [f"w{i}" for i in range(120)]
+    pairs = []
+    for i in range(160):
+        edited = list(base)
+        for _ in range(r.randint(1, 5)):
+            edited[r.randrange(120)] = f"x{r.randrange(10**9)}"
+        pairs.append((i, " ".join(edited)))
+    sets, name = [shingles(t) for _, t in pairs], list(range(160))
+    near = [[j for j in range(160) if j != i and similarity(sets[i], sets[j]) >= 0.8] for i in range(160)]
+    for _ in range(10):
+        for i, js in enumerate(near):
+            name[i] = min([name[i], *(name[j] for j in js)])
+    assert len(set(name)) > 10 and max(Counter(name).values()) > 50
+    got = {x["doc_id"]: x["component_id"] for x in near_duplicates(docs(spark, pairs), block=16).collect()}
+    assert got == dict(enumerate(name))
+
+
 def as_rows(frame):
     return Counter(tuple(r) for r in frame.select(corpus_pipeline.COLUMNS).collect())
 
