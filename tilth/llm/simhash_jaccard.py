@@ -9,10 +9,12 @@ documents meet where a key is equal.
 
 Those that meet are compared by sketches of 128 one-byte minimum hashes. Far above the threshold they
 link, far below they don't, and what lies between is decided by the shingles themselves. Buckets work
-in blocks of bounded size, and links leave them as stars. Pairs in doubt are settled in two steps: the
-best doubtful partner of each document first, and then, once components are known, all doubtful pairs
-that still join two of them. So a large group of near copies costs about as many exact comparisons as
-it has documents, and no doubtful pair between two components is left out.
+in blocks of bounded size, and links leave them as stars. Pairs in doubt are settled in two steps.
+First, neighbouring blocks of a bucket only: the best doubtful partner of each document, so a group
+costs about as many exact comparisons as it has documents. Then, once components are known, every
+document in doubt against another component asks that component's slice, a set of about a hundred of
+its documents, not one by one; a slice answers all that ask it from the shingles themselves. So near
+copies that differ a little too much leave one row for each slice, and no pair is left out.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tilth.llm._shared import LOWERED, checkpoint, connected_components, small_batches, text_of
+from tilth.llm._shared import LOWERED, checkpoint, connected_components, join_counted, small_batches, text_of
 from tilth.llm.simhash import golay_indices, hashes
 
 BANDS, SKETCH, BITS = 12, 128, 23
@@ -76,8 +78,8 @@ def sketches(docs: DataFrame, k: int) -> DataFrame:
     return docs.select("doc_id", text_of().alias("text")).mapInPandas(work, f"doc_id {kind}, n1 long, n2 long, anchors array<long>, prints array<long>, sketch binary")
 
 
-def _buckets(reps: DataFrame, block: int) -> DataFrame:
-    """Of every two blocks of every key that several documents have: their reps, components and sketches."""
+def _keys(reps: DataFrame) -> DataFrame:
+    """key, rep, component: the bands' keys of each document."""
 
     def keyed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -88,27 +90,54 @@ def _buckets(reps: DataFrame, block: int) -> DataFrame:
             band = np.arange(BANDS, dtype=np.uint64)
             keys = _scramble((anchors + band * np.uint64(0x9E3779B97F4A7C15))[:, :, None] ^ (near.astype(np.uint64) << np.uint64(50))).view(np.int64)
             at = np.nonzero(near >= 0)
-            yield pd.DataFrame({"key": keys[at], "rep": b["rep"].to_numpy()[at[0]]})
+            yield pd.DataFrame({"key": keys[at], "rep": b["rep"].to_numpy()[at[0]], "component": b["component"].to_numpy()[at[0]]})
 
-    keys = reps.select("rep", "anchors", "prints").mapInPandas(keyed, "key long, rep long")
-    sizes = keys.groupBy("key").agg(F.count("*").alias("members")).filter("members > 1")
+    return reps.select("rep", "component", "anchors", "prints").mapInPandas(keyed, "key long, rep long, component long")
+
+
+def _buckets(keys: DataFrame, reps: DataFrame, block: int, ring: bool) -> DataFrame:
+    """Of every two blocks (with ring: of a block with itself and the next one) of every key that several documents have: their reps, components and sketches."""
+    sizes = keys.groupBy("key").agg(F.count("*").alias("members"), (F.min("component") < F.max("component")).alias("joins")).filter("members > 1 and joins").drop("joins")
+    blocks = F.col("blocks")
+    partners = F.array_distinct(F.array(F.col("mine"), F.pmod(F.col("mine") + 1, blocks), F.pmod(F.col("mine") - 1, blocks))) if ring else F.sequence(F.lit(0), blocks - 1)
     return (
-        keys.join(sizes, "key")
+        join_counted(keys.select("key", "rep"), sizes.withColumn("n", F.col("members")), ["key"], keys.count())
         .withColumn("blocks", F.ceil(F.col("members") / block).cast("int"))
-        .join(reps.select("rep", "component", "sketch"), "rep")
+        .join(reps.select("rep", "component", "size", "slice", "sketch"), "rep")
         .withColumn("mine", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        .withColumn("other", F.explode(partners))
         .groupBy("key", F.least("mine", "other").alias("p"), F.greatest("mine", "other").alias("q"))
-        .agg(F.collect_list(F.struct("rep", "component", "mine", "sketch")).alias("rows"))
+        .agg(F.collect_list(F.struct("rep", "component", "mine", "sketch", "size", "slice")).alias("rows"))
         .filter(F.size("rows") > 1)
-        .select("p", "q", F.col("rows.rep").alias("rep"), F.col("rows.component").alias("component"), F.col("rows.mine").alias("mine"), F.col("rows.sketch").alias("sketch"))
+        .select("p", "q", *[F.col(f"rows.{c}").alias(c) for c in ("rep", "component", "mine", "sketch", "size", "slice")])
     )
 
 
-def _compared(buckets: DataFrame, least: float, every: bool) -> DataFrame:
-    """(a, b, sure): links that sketches settle, as stars; and doubtful pairs of different components: all, or each document's best."""
+def _limits(least: float) -> tuple[float, float]:
+    """Equal bytes from which on a pair is sure, and in doubt."""
     share = least + (1 - least) / 256  # bytes of different hashes may be equal
-    sure_at, doubt_at = min(SKETCH, SKETCH * share + STRAY), SKETCH * share - STRAY
+    return min(SKETCH, SKETCH * share + STRAY), SKETCH * share - STRAY
+
+
+def _candidates(b: pa.RecordBatch, doubt_at: float) -> Iterator[tuple]:
+    """Of each row of blocks: its lists, and i, j and equal bytes of the pairs of different components that may be similar."""
+    lists = [b.column(c) for c in ("rep", "component", "mine", "size", "slice")]
+    for p, q, sketches_, *own in zip(b.column("p").to_numpy(), b.column("q").to_numpy(), b.column("sketch"), *lists, strict=True):  # Arrow, for a row's lists are read where they lie
+        rep, component, mine, size, part = (v.values.to_numpy() for v in own)
+        x = np.frombuffer(b"".join(sketches_.values.to_pylist()), np.uint8).reshape(-1, SKETCH)
+        equal = np.array([(x == row).sum(axis=1) for row in x])
+        can = component[:, None] != component[None, :]
+        if p != q:
+            side = mine == q
+            can &= side[:, None] != side[None, :]
+        i, j = np.nonzero(np.triu(can & (equal >= doubt_at), 1))
+        if len(i):
+            yield rep, component, size, part, i, j, equal[i, j]
+
+
+def _compared(buckets: DataFrame, least: float) -> DataFrame:
+    """(a, b, sure): links that sketches settle, as stars, and each document's best doubtful pair."""
+    sure_at, doubt_at = _limits(least)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         joined: dict[int, int] = {}  # what this task has linked: a link within one of its components says nothing new
@@ -119,21 +148,10 @@ def _compared(buckets: DataFrame, least: float, every: bool) -> DataFrame:
                 joined[i] = i = joined.get(up, up)
             return i
 
-        for b in batches:  # Arrow, for a row's lists are read where they lie
+        for b in batches:
             found = []
-            ps, qs = b.column("p").to_numpy(), b.column("q").to_numpy()
-            for p, q, *lists in zip(ps, qs, *(b.column(c) for c in ("rep", "component", "mine", "sketch")), strict=True):
-                rep, component, mine = (v.values.to_numpy() for v in lists[:3])
-                x = np.frombuffer(b"".join(lists[3].values.to_pylist()), np.uint8).reshape(-1, SKETCH)
-                equal = np.array([(x == row).sum(axis=1) for row in x])
-                can = component[:, None] != component[None, :]
-                if p != q:
-                    side = mine == q
-                    can &= side[:, None] != side[None, :]
-                i, j = np.nonzero(np.triu(can & (equal >= doubt_at), 1))
-                if not len(i):
-                    continue
-                n, root = equal[i, j], np.arange(len(rep))
+            for rep, _, _, _, i, j, n in _candidates(b, doubt_at):
+                root = np.arange(len(rep))
                 a, c = i[n >= sure_at], j[n >= sure_at]
                 while len(a):
                     before = root.copy()
@@ -150,7 +168,7 @@ def _compared(buckets: DataFrame, least: float, every: bool) -> DataFrame:
                         found.append((x1, x2, True))
                 open_ = (n < sure_at) & (root[i] != root[j])
                 i, j, n = i[open_], j[open_], n[open_]
-                if not every and len(i):
+                if len(i):
                     order = np.argsort(-n, kind="stable")
                     both = np.concatenate([i[order], j[order]])
                     place = np.concatenate([order, order])
@@ -168,16 +186,70 @@ def _compared(buckets: DataFrame, least: float, every: bool) -> DataFrame:
     return buckets.mapInArrow(work, "a long, b long, sure boolean").distinct()
 
 
-def _exact(pairs: DataFrame, docs: DataFrame, k: int, least: float) -> DataFrame:
-    """The pairs (a, b) of doc_ids whose shingle sets are as similar as least."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
+def _asked(buckets: DataFrame, least: float) -> DataFrame:
+    """rep, component, slice: which slices of other components a document may be similar to. Of two components the smaller one's documents ask."""
+    _, doubt_at = _limits(least)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        said: set[tuple[int, int, int]] = set()
+        for b in batches:
+            fresh: set[tuple[int, int, int]] = set()
+            for rep, component, size, part, i, j, _ in _candidates(b, doubt_at):
+                turn = (size[i] > size[j]) | ((size[i] == size[j]) & (component[i] > component[j]))
+                small, big = np.where(turn, j, i), np.where(turn, i, j)
+                fresh.update(zip(rep[small].tolist(), component[big].tolist(), part[big].tolist(), strict=True))
+            fresh -= said
+            said |= fresh
+            cols = list(zip(*fresh, strict=True)) or [(), (), ()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["rep", "component", "slice"])
+
+    return buckets.mapInArrow(work, "rep long, component long, slice long").distinct()
+
+
+def _shingle_sets(wanted: DataFrame, docs: DataFrame, k: int) -> DataFrame:
+    """rep and own, the sorted distinct shingle hashes, of the documents in wanted (rep)."""
     texts = docs.select(F.col("doc_id").cast("long").alias("rep"), text_of().alias("text")).join(wanted, "rep", "left_semi")
 
     def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             yield pd.DataFrame({"rep": b["rep"], "own": [np.unique(hashes(t, k)).tobytes() for t in b["text"]]})
 
-    own = texts.mapInPandas(sets, "rep long, own binary")
+    return texts.mapInPandas(sets, "rep long, own binary")
+
+
+def _answered(asked: DataFrame, members: DataFrame, docs: DataFrame, k: int, least: float, together: int = 128) -> DataFrame:
+    """Links (a, b) of documents that ask to one of the slice's that is as similar as least, for each slice that has one. members: rep, component, slice."""
+    here = ["component", "slice"]
+    held = members.join(asked.select(*here).distinct(), here, "left_semi")
+    own = checkpoint(_shingle_sets(asked.select("rep").unionByName(held.select("rep")).distinct(), docs, k))
+    slices = held.join(own, "rep").groupBy(*here).agg(F.collect_list(F.struct("rep", "own")).alias("held"))
+    counts = asked.groupBy(*here).agg(F.count("*").alias("n")).withColumn("many", F.col("n"))
+    parted = join_counted(asked, counts, here, asked.count()).withColumn("part", F.pmod(F.xxhash64("rep"), F.ceil(F.col("many") / together)))
+    asking = parted.join(own, "rep").groupBy(*here, "part").agg(F.collect_list(F.struct("rep", "own")).alias("asking"))
+
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            found = []
+            for held, asking in zip(b["held"], b["asking"], strict=True):
+                names = [h["rep"] for h in held]
+                parts = [np.frombuffer(h["own"], np.uint64) for h in held]
+                sizes = np.array([len(p) for p in parts])
+                all_, of = np.concatenate(parts), np.repeat(np.arange(len(parts)), sizes)
+                for a in asking:
+                    mine = np.frombuffer(a["own"], np.uint64)
+                    at = np.minimum(np.searchsorted(mine, all_), len(mine) - 1)
+                    both = np.bincount(of[mine[at] == all_], minlength=len(parts))
+                    near = np.nonzero(both >= least * (len(mine) + sizes - both) - 1e-9)[0]
+                    if len(near):
+                        found.append((a["rep"], names[near[0]]))
+            yield pd.DataFrame(found, columns=["a", "b"])
+
+    return asking.join(slices, here).select("held", "asking").mapInPandas(work, "a long, b long")
+
+
+def _exact(pairs: DataFrame, docs: DataFrame, k: int, least: float) -> DataFrame:
+    """The pairs (a, b) of doc_ids whose shingle sets are as similar as least."""
+    own = _shingle_sets(pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct(), docs, k)
     joined = pairs.join(own.select(F.col("rep").alias("a"), F.col("own").alias("own_a")), "a").join(own.select(F.col("rep").alias("b"), F.col("own").alias("own_b")), "b")
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -205,15 +277,20 @@ def near_duplicates(docs: DataFrame, k: int = 5, least: float = 0.8, block: int
     every = checkpoint(sketches(known, k).withColumn("rep", F.col("doc_id").cast("long")))
     classes = checkpoint(every.groupBy("n1", "n2").agg(F.min("rep").alias("least"), F.count("*").alias("n")))
     first = every.filter("sketch is not null").join(classes.select("n1", "n2", F.col("least").alias("rep")), ["n1", "n2", "rep"], "left_semi").select("rep", "anchors", "prints", "sketch").dropDuplicates(["rep"])
-    reps = checkpoint(first.withColumn("component", F.col("rep")))
+    reps = checkpoint(first.withColumns({"component": F.col("rep"), "size": F.lit(1).cast("long"), "slice": F.lit(0).cast("long")}))
     same = every.join(classes.filter("n > 1").select("n1", "n2", "least"), ["n1", "n2"]).select(F.col("rep").alias("a"), F.col("least").alias("b"))
     with small_batches(docs.sparkSession):
-        found = checkpoint(_compared(_buckets(reps, block), least, every=False))
+        found = checkpoint(_compared(_buckets(_keys(reps), reps, block, ring=True), least))
         links = checkpoint(found.filter("sure").select("a", "b").unionByName(_exact(found.filter("not sure").select("a", "b"), known, k, least)))
         parts = connected_components(links)
-        now = reps.drop("component").join(parts.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-        left = checkpoint(_compared(_buckets(checkpoint(now), block), least, every=True).select("a", "b").join(found.filter("not sure").select("a", "b"), ["a", "b"], "left_anti"))
-        more = checkpoint(_exact(left, known, k, least))
+        sizes = parts.groupBy("component").agg(F.count("*").alias("size")).withColumn("n", F.col("size"))
+        parts = join_counted(parts, sizes, ["component"], parts.count())
+        now = reps.drop("component", "size", "slice").join(parts.withColumnRenamed("node", "rep"), "rep", "left")
+        now = now.withColumns({"component": F.coalesce("component", "rep"), "size": F.coalesce("size", F.lit(1))})
+        now = checkpoint(now.withColumn("slice", F.pmod(F.xxhash64("rep"), F.ceil(F.col("size") / block))))
+        asked = checkpoint(_asked(_buckets(_keys(now), now, block, ring=False), least))
+        with small_batches(docs.sparkSession, 4):  # a row holds the shingles of two hundred documents
+            more = checkpoint(_answered(asked, now.select("rep", "component", "slice"), known, k, least))
     parts = connected_components(links.unionByName(more).unionByName(same))
     kind = docs.schema["doc_id"].dataType.simpleString()
     ids = every.select("rep").distinct().join(parts.withColumnRenamed("node", "rep"), "rep", "left")
