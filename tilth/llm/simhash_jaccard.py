@@ -97,7 +97,11 @@ def _keys(reps: DataFrame) -> DataFrame:
 
 def _buckets(keys: DataFrame, reps: DataFrame, block: int, ring: bool) -> DataFrame:
     """Of every two blocks (with ring: of a block with itself and the next one) of every key that several documents have: their reps, components and sketches."""
-    sizes = keys.groupBy("key").agg(F.count("*").alias("members"), (F.min("component") < F.max("component")).alias("joins")).filter("members > 1 and joins").drop("joins")
+    count = F.count("*").alias("members")
+    if ring:  # every document is a component of its own yet
+        sizes = keys.groupBy("key").agg(count).filter("members > 1")
+    else:
+        sizes = keys.groupBy("key").agg(count, (F.min("component") < F.max("component")).alias("joins")).filter("joins").drop("joins")
     blocks = F.col("blocks")
     partners = F.array_distinct(F.array(F.col("mine"), F.pmod(F.col("mine") + 1, blocks), F.pmod(F.col("mine") - 1, blocks))) if ring else F.sequence(F.lit(0), blocks - 1)
     return (
