@@ -113,7 +113,7 @@ class Encoder:
     are remembered.
     """
 
-    def __init__(self, path: str, cut: str | None, keep: int = 1_000_000):
+    def __init__(self, path: str, cut: str | None, keep: int = 400_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 

@@ -224,7 +224,7 @@ class Field:
 
         Where the only ones are words that would turn beside each other alone, and all stand apart, none can.
         """
-        if len(self.flags) > 200_000:
+        if len(self.flags) > 100_000:
             self.flags.clear()
         known, flag, long = self.flags, self._flag, []
         found = list(map(known.get, words))
