@@ -10,6 +10,9 @@ from tests.llm.test_line_dedup import brute as lines_left
 from tests.llm.test_packing import docs_ids
 from tests.llm.test_pii import scanned
 from tests.llm.test_quality import labels, plain
+from tilth.llm import queries
+from tilth.llm._shared import lean
+from tilth.llm.encoding import encoder
 from tilth.llm.quality import judge
 from tilth.llm.simhash_jaccard import near_duplicates
 
@@ -125,3 +128,16 @@ def test_packing_stage_holds_every_token_once(spark):
 def test_empty(spark):
     for name, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty(spark).select(corpus_pipeline.COLUMNS), SF).collect() == [], name
+
+
+def test_workers_keep_no_tables_of_other_stages(spark, monkeypatch):
+    kind, lean_ones = type(spark.range(1)), []
+    for name in ("mapInPandas", "mapInArrow"):
+        monkeypatch.setattr(kind, name, lambda self, f, *a, real=getattr(kind, name), **b: lean_ones.append(hasattr(f, "__wrapped__")) or real(self, f, *a, **b))
+    frame = docs(spark, rows(20)).select(corpus_pipeline.COLUMNS)
+    for _, stage in corpus_pipeline.STAGES:
+        stage(spark, frame, SF)
+    assert len(lean_ones) > 8 and all(lean_ones)
+    made = encoder(queries.vocabulary(queries.BYTES), "bytes")
+    assert list(lean(iter, "encoder")([1, 2])) == [1, 2] and encoder(queries.vocabulary(queries.BYTES), "bytes") is made
+    assert list(lean(iter)([3])) == [3] and not encoder.cache_info().currsize

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from functools import cache, wraps
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -60,6 +63,45 @@ def small_batches(spark: SparkSession, rows: int = 128) -> Iterator[None]:
         spark.conf.set(name, before)
 
 
+_TABLES: dict[str, Callable] = {}
+
+
+def worker_table(f: Callable) -> Callable:
+    """functools.cache for what a worker process keeps from task to task, until other work begins there (lean)."""
+    _TABLES[f.__name__] = f = cache(f)
+    return f
+
+
+def _begin(own: str) -> None:
+    for name, f in _TABLES.items():
+        if name != own:
+            f.cache_clear()
+
+
+def _give_back() -> None:
+    """What Arrow's pool and malloc hold free goes back to the system."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
+def lean(work: Callable, own: str = "") -> Callable:
+    """work (batches to batches), for a worker that lives on and serves other stages, beside an executor that needs the memory.
+
+    Worker tables other than `own` are dropped before it, and what is free after it isn't kept.
+    """
+
+    @wraps(work)
+    def task(batches):
+        _begin(own)
+        try:
+            yield from work(batches)
+        finally:
+            _give_back()
+
+    return task
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -16,10 +16,11 @@ import gc
 import os
 import re
 from collections.abc import Iterator
-from functools import cache
 
 import numpy as np
 
+from tilth.llm._shared import worker_table
+
 #: White space as Unicode and the tokenizers' patterns define it.
 SPACE = "\t-\r \x85\xa0  -     　"
 CUTS = {"words": re.compile(f"[^{SPACE}]+"), "bytes": re.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+")}
@@ -282,7 +283,7 @@ class Encoder:
             out[i] = ids
 
 
-@cache
+@worker_table
 def encoder(path: str, cut: str | None) -> Encoder:
     """One for each worker process, so its tasks share what is remembered."""
     return Encoder(path, cut)

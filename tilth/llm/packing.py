@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tilth.llm._shared import checkpoint, text_of
+from tilth.llm._shared import checkpoint, lean, text_of
 from tilth.llm.encoding import encoder
 
 
@@ -193,7 +193,7 @@ def pieces_of(docs: DataFrame, tokenizer: str, capacity: int = 2048, end: int =
             yield pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", text_of().alias("text")).mapInPandas(work, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
+    return docs.select("doc_id", text_of().alias("text")).mapInPandas(lean(work, "encoder"), f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 2048, end: int = 0, cut: str | None = "bytes", rows_per_group: int = 20_000) -> DataFrame:
@@ -221,4 +221,4 @@ def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 2048, end: i
             yield b[["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]]
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return ranked.mapInPandas(work, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    return ranked.mapInPandas(lean(work), f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")

@@ -30,7 +30,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tilth.llm._shared import text_of
+from tilth.llm._shared import lean, text_of
 
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ("other", *KINDS, "secret")
@@ -540,7 +540,7 @@ def find(docs: DataFrame) -> DataFrame:
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     counts = ", ".join(f"n_{k} long" for k in KINDS)
-    return docs.select("doc_id", text_of().alias("text")).mapInPandas(work, f"doc_id {kind}, {counts}, base_sha256 string, spans string")
+    return docs.select("doc_id", text_of().alias("text")).mapInPandas(lean(work), f"doc_id {kind}, {counts}, base_sha256 string, spans string")
 
 
 def redacted(text: str, field: Field) -> str:
@@ -567,4 +567,4 @@ def redact(docs: DataFrame, text: str = "text") -> DataFrame:
         for s in batches:
             yield s.map(lambda t: None if t is None else redacted(t, field))
 
-    return docs.withColumn(text, F.pandas_udf(work, "string")(F.col(text)))
+    return docs.withColumn(text, F.pandas_udf(lean(work), "string")(F.col(text)))

@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tilth.llm._shared import text_of
+from tilth.llm._shared import lean, text_of
 
 BLANK_BYTES = b" \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
@@ -149,7 +149,7 @@ def with_statistics(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
 
     own = docs.select("doc_id", *keep, text_of().alias("text_"))
     head = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in own.schema.fields[:-1])
-    return own.mapInPandas(work, f"{head}, {STATS_SCHEMA}")
+    return own.mapInPandas(lean(work), f"{head}, {STATS_SCHEMA}")
 
 
 def fit(docs: DataFrame, labels: DataFrame, most_rows: int = 6000) -> Forest:
@@ -189,4 +189,4 @@ def judge(docs: DataFrame, labels: DataFrame, most_rows: int = 6000, keep: tuple
     own = docs.select("doc_id", *keep, text_of().alias("text_"))
     head = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in own.schema.fields[:-1])
     counts = ", ".join(f"{c} long" for c in COUNTS)
-    return own.mapInPandas(work, f"{head}, {counts}, base_failed boolean, kept boolean, path_length double")
+    return own.mapInPandas(lean(work), f"{head}, {counts}, base_failed boolean, kept boolean, path_length double")

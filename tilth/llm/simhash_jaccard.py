@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tilth.llm._shared import LOWERED, checkpoint, connected_components, join_counted, small_batches, text_of
+from tilth.llm._shared import LOWERED, checkpoint, connected_components, join_counted, lean, small_batches, text_of
 from tilth.llm.simhash import golay_indices, hashes
 
 BANDS, SKETCH, BITS = 12, 128, 23
@@ -75,7 +75,7 @@ def sketches(docs: DataFrame, k: int) -> DataFrame:
             yield pd.concat([b[["doc_id"]], pd.DataFrame(rows, columns=["n1", "n2", "anchors", "prints", "sketch"], index=b.index)], axis=1)
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", text_of().alias("text")).mapInPandas(work, f"doc_id {kind}, n1 long, n2 long, anchors array<long>, prints array<long>, sketch binary")
+    return docs.select("doc_id", text_of().alias("text")).mapInPandas(lean(work), f"doc_id {kind}, n1 long, n2 long, anchors array<long>, prints array<long>, sketch binary")
 
 
 def _keys(reps: DataFrame) -> DataFrame:
@@ -92,7 +92,7 @@ def _keys(reps: DataFrame) -> DataFrame:
             at = np.nonzero(near >= 0)
             yield pd.DataFrame({"key": keys[at], "rep": b["rep"].to_numpy()[at[0]], "component": b["component"].to_numpy()[at[0]]})
 
-    return reps.select("rep", "component", "anchors", "prints").mapInPandas(keyed, "key long, rep long, component long")
+    return reps.select("rep", "component", "anchors", "prints").mapInPandas(lean(keyed), "key long, rep long, component long")
 
 
 def _buckets(keys: DataFrame, reps: DataFrame, block: int, ring: bool) -> DataFrame:
@@ -187,7 +187,7 @@ def _compared(buckets: DataFrame, least: float) -> DataFrame:
             cols = [np.array([f[k] for f in found], np.int64 if k < 2 else bool) for k in range(3)]
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in (np.minimum(cols[0], cols[1]), np.maximum(cols[0], cols[1]), cols[2])], ["a", "b", "sure"])
 
-    return buckets.mapInArrow(work, "a long, b long, sure boolean").distinct()
+    return buckets.mapInArrow(lean(work), "a long, b long, sure boolean").distinct()
 
 
 def _asked(buckets: DataFrame, least: float) -> DataFrame:
@@ -207,7 +207,7 @@ def _asked(buckets: DataFrame, least: float) -> DataFrame:
             cols = list(zip(*fresh, strict=True)) or [(), (), ()]
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["rep", "component", "slice"])
 
-    return buckets.mapInArrow(work, "rep long, component long, slice long").distinct()
+    return buckets.mapInArrow(lean(work), "rep long, component long, slice long").distinct()
 
 
 def _shingle_sets(wanted: DataFrame, docs: DataFrame, k: int) -> DataFrame:
@@ -218,7 +218,7 @@ def _shingle_sets(wanted: DataFrame, docs: DataFrame, k: int) -> DataFrame:
         for b in batches:
             yield pd.DataFrame({"rep": b["rep"], "own": [np.unique(hashes(t, k)).tobytes() for t in b["text"]]})
 
-    return texts.mapInPandas(sets, "rep long, own binary")
+    return texts.mapInPandas(lean(sets), "rep long, own binary")
 
 
 def _answered(asked: DataFrame, members: DataFrame, docs: DataFrame, k: int, least: float, together: int = 128) -> DataFrame:
@@ -248,7 +248,7 @@ def _answered(asked: DataFrame, members: DataFrame, docs: DataFrame, k: int, lea
                         found.append((a["rep"], names[near[0]]))
             yield pd.DataFrame(found, columns=["a", "b"])
 
-    return asking.join(slices, here).select("held", "asking").mapInPandas(work, "a long, b long")
+    return asking.join(slices, here).select("held", "asking").mapInPandas(lean(work), "a long, b long")
 
 
 def _exact(pairs: DataFrame, docs: DataFrame, k: int, least: float) -> DataFrame:
@@ -265,7 +265,7 @@ def _exact(pairs: DataFrame, docs: DataFrame, k: int, least: float) -> DataFrame
                 keep.append(both >= least * (len(x) + len(y) - both) - 1e-9)
             yield b.loc[np.array(keep, bool), ["a", "b"]]
 
-    return joined.mapInPandas(work, "a long, b long")
+    return joined.mapInPandas(lean(work), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, least: float = 0.8, block: int = 128) -> DataFrame:
