@@ -1,10 +1,11 @@
 import re
 from collections import Counter
 
+import numpy as np
 import pyarrow.parquet as pq
 
 from tests.llm.helpers import SF, docs, empty, rows, tuples
-from tilth.llm.quality import COUNTS, fit, judge
+from tilth.llm.quality import COUNTS, RATES, Cuts, _expected, _nth, fit, grow, judge
 
 
 def plain(text):
@@ -58,3 +59,34 @@ def test_repeated_labelled_ids_give_one_row_each(spark):
     assert once.threshold == again.threshold and (once.cut == again.cut).all()
     other = own.unionByName(own.selectExpr("doc_id", "concat(text, ' and more') as text"))
     assert fit(other, lab, 50).threshold == fit(other.repartition(5), lab, 50).threshold
+
+
+def test_every_labelled_document_counts(spark):
+    r = np.random.default_rng(3)
+    own = docs(spark, [(i, " ".join(f"w{k}" for k in r.integers(0, 900, 50 + i % 40))) for i in range(6300)]).repartition(3)
+    lab = spark.range(6300).selectExpr("id as doc_id", "cast(id % 50 > 0 as int) as quality")
+    every, some = fit(own, lab), fit(own, lab, 6000)
+    assert len(every.cut) != len(some.cut) or (every.cut != some.cut).any()
+
+
+def test_trees_hold_all_rows_and_ranks_are_exact(spark):
+    r = np.random.default_rng(4)
+    x = r.normal(size=(700, len(RATES))) ** 3
+    low, high = x.min(axis=0), x.max(axis=0)
+    got = grow(spark.createDataFrame(x.tolist(), list(RATES)).repartition(5), low, high)
+    cuts = Cuts(tuple(low.tolist()), tuple(high.tolist()))
+    total = np.zeros(len(x))
+    for t in range(cuts.trees):
+        axis, cut = cuts.of(t)
+        todo = [(1, 0, np.arange(len(x)))]
+        while todo:
+            node, level, rows_ = todo.pop()
+            if len(rows_) < 2 or level == cuts.depth:
+                total[rows_] += level + _expected(np.array([len(rows_)]))[0]
+                continue
+            right = x[rows_, axis[node]] >= cut[node]
+            todo += [(2 * node, level + 1, rows_[~right]), (2 * node + 1, level + 1, rows_[right])]
+    assert np.allclose(got.path_lengths(x), total / cuts.trees)
+    values = np.round(x.ravel(), 2)
+    frame = spark.createDataFrame([(v,) for v in values.tolist()], "x double")
+    assert [_nth(frame, k, few=20, bins=7) for k in (0, 6, 3000, 6299)] == np.sort(values)[[0, 6, 3000, 6299]].tolist()
