@@ -1,4 +1,7 @@
+import threading
+
 import duckdb
+import numpy as np
 import pytest
 
 from tilth import queries
@@ -124,3 +127,33 @@ def test_cleaning_stream(spark, tmp_path):
     q = grid_stream(clean_stream(stream, yield_range=(0, 1e9)), "ts", "yield").writeStream.format("memory").queryName("gridded").outputMode("append").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "cp")).start()
     q.awaitTermination(120)
     assert spark.table("gridded").agg({"n_obs": "sum"}).first()[0] > 0
+
+
+@pytest.fixture
+def limited(spark):
+    """Ends all jobs after two minutes, so that work on pairs of rows fails and doesn't hang."""
+    t = threading.Timer(120, spark.sparkContext.cancelAllJobs)
+    t.start()
+    yield
+    t.cancel()
+
+
+def test_pairs_of_rows_of_few_places(spark, limited):
+    n = 300_000  # rows a place
+    points = spark.range(4 * n).selectExpr("double(id % 4) x", "0D y", "double(id div 4 % 5 + id % 4) v")
+    got = {r["bin"]: (r["h"], r["gamma"], r["n_pair"]) for r in variogram.pair_bins(points, "v", cutoff=3.0, n_bin=3).collect()}
+    assert got == {h: (h, pytest.approx(2 + h**2 / 2), (4 - h) * n * n) for h in (1, 2, 3)}
+
+
+@pytest.mark.parametrize("odd", [None, float("nan"), float("inf")])
+def test_pairs_where_places_repeat(spark, odd):
+    rng = np.random.default_rng(3)
+    rows = [(float(a), float(b), float(v)) for a, b, v in zip(rng.integers(-6, 6, 80), rng.integers(0, 4, 80), rng.normal(1e6, 1, 80), strict=True)] + [(0.0, 1.0, odd), (0.0, 1.0, 5.0), (-0.0, 1.0, 5.0)]
+    want, known = {}, [r for r in rows if r[2] is not None and r[2] == r[2]]
+    for i, a in enumerate(known):
+        for b in known[:i]:
+            h = np.hypot(a[0] - b[0], a[1] - b[1])
+            if 0 < h <= 4:
+                want.setdefault(max(int(np.ceil(h / 0.8)), 1), []).append((h, (a[2] - b[2]) ** 2 / 2))
+    got = variogram.pair_bins(spark.createDataFrame(rows, "x double, y double, v double"), "v", cutoff=4.0, n_bin=5).collect()
+    assert {r["bin"]: (r["h"], r["gamma"], r["n_pair"]) for r in got} == {k: (pytest.approx(np.mean([h for h, _ in p])), pytest.approx(np.mean([g for _, g in p])), len(p)) for k, p in want.items() if len(p) > 1}

@@ -19,19 +19,26 @@ PRACTICAL = {"Exp": 3.0, "Sph": 1.0, "Gau": math.sqrt(3.0)}
 def pair_bins(points: DataFrame, value: str, x: str = "x", y: str = "y", cutoff: float = 1.0, n_bin: int = 15) -> DataFrame:
     """bin, h, gamma, n_pair over pairs no further apart than cutoff, in right-closed bins.
 
-    Pairs meet by equi-join on squares of side cutoff: a point goes to its own square and to those
-    four of the eight around it that come later, so the work grows with the pairs within reach, not
-    with all, and no pair meets twice.
+    Rows of one place count as one: all their pairs with those of another place have the same
+    distance, and their squared differences add up to what the counts, means and spreads of the two
+    say. So the work grows with the pairs of places, whatever number of rows a place has. Places meet
+    by equi-join on squares of side cutoff: a place goes to its own square and to those four of the
+    eight around it that come later, so only places within reach meet, and no two meet twice.
     """
     require_columns(points, value, x, y)
-    own = points.select(number(x).alias("x"), number(y).alias("y"), number(value).alias("v")).dropna().withColumn("id", F.struct("x", "y", "v"))  # rows that are all the same have no distance
+    own = points.select(number(x).alias("x"), number(y).alias("y"), number(value).alias("v")).dropna()
+    endless = F.when(F.abs("v") == float("inf"), F.col("v")).otherwise(F.lit(0.0))  # apart from the others of a place, for they have no spread
+    own = own.groupBy("x", "y", endless.alias("w")).agg(F.count("*").alias("n"), F.avg("v").alias("m"), F.nanvl(F.var_pop("v") * F.count("*"), F.lit(0.0)).alias("s")).withColumn("id", F.struct("x", "y", "w"))
     own = own.withColumns({"cx": F.floor(F.col("x") / cutoff), "cy": F.floor(F.col("y") / cutoff)})
     steps = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in ((0, 0), (0, 1), (1, -1), (1, 0), (1, 1))])
-    later = own.select(F.col("id").alias("id2"), F.col("x").alias("x2"), F.col("y").alias("y2"), F.col("v").alias("v2"), "cx", "cy", F.explode(steps).alias("s"))
-    later = later.select("id2", "x2", "y2", "v2", (F.col("cx") - F.col("s.i")).alias("cx"), (F.col("cy") - F.col("s.j")).alias("cy"), ((F.col("s.i") == 0) & (F.col("s.j") == 0)).alias("same"))
+    later = own.select(*[F.col(c).alias(f"{c}2") for c in ("id", "x", "y", "n", "m", "s")], "cx", "cy", F.explode(steps).alias("t"))
+    later = later.select("id2", "x2", "y2", "n2", "m2", "s2", (F.col("cx") - F.col("t.i")).alias("cx"), (F.col("cy") - F.col("t.j")).alias("cy"), ((F.col("t.i") == 0) & (F.col("t.j") == 0)).alias("same"))
     h = F.sqrt(F.pow(F.col("x") - F.col("x2"), 2) + F.pow(F.col("y") - F.col("y2"), 2))
-    pairs = own.join(later, ["cx", "cy"]).filter(~F.col("same") | (F.col("id") < F.col("id2"))).select(h.alias("h"), (F.pow(F.col("v") - F.col("v2"), 2) / 2).alias("g")).filter((F.col("h") <= cutoff) & (F.col("h") > 0))
-    return pairs.groupBy(F.least(right_closed_bin(F.col("h"), cutoff / n_bin), F.lit(n_bin)).alias("bin")).agg(F.avg("h").alias("h"), F.avg("g").alias("gamma"), F.count("*").alias("n_pair")).filter("n_pair >= 2")
+    k = F.col("n") * F.col("n2")
+    g = (F.col("n") * F.col("s2") + F.col("n2") * F.col("s") + k * F.pow(F.col("m") - F.col("m2"), 2)) / 2
+    pairs = own.join(later, ["cx", "cy"]).filter(~F.col("same") | (F.col("id") < F.col("id2"))).select(h.alias("h"), g.alias("g"), k.alias("k")).filter((F.col("h") <= cutoff) & (F.col("h") > 0))
+    n_pair = F.sum("k")
+    return pairs.groupBy(F.least(right_closed_bin(F.col("h"), cutoff / n_bin), F.lit(n_bin)).alias("bin")).agg((F.sum(F.col("h") * F.col("k")) / n_pair).alias("h"), (F.sum("g") / n_pair).alias("gamma"), n_pair.alias("n_pair")).filter("n_pair >= 2")
 
 
 def shape(model: str, h, a: float):
