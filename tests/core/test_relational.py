@@ -157,3 +157,17 @@ def test_pairs_where_places_repeat(spark, odd):
                 want.setdefault(max(int(np.ceil(h / 0.8)), 1), []).append((h, (a[2] - b[2]) ** 2 / 2))
     got = variogram.pair_bins(spark.createDataFrame(rows, "x double, y double, v double"), "v", cutoff=4.0, n_bin=5).collect()
     assert {r["bin"]: (r["h"], r["gamma"], r["n_pair"]) for r in got} == {k: (pytest.approx(np.mean([h for h, _ in p])), pytest.approx(np.mean([g for _, g in p])), len(p)) for k, p in want.items() if len(p) > 1}
+
+
+def test_finer_squares_find_the_same_pairs(spark):
+    rng = np.random.default_rng(4)
+    points = spark.createDataFrame([(float(a), float(b), float(v)) for a, b, v in zip(rng.integers(-20, 20, 150) / 10, rng.integers(-9, 9, 150) / 10, rng.normal(size=150), strict=True)], "x double, y double, v double")
+    coarse, *others = ([tuple(r) for r in variogram.pair_bins(points, "v", cutoff=0.3, n_bin=5, fine=f).orderBy("bin").collect()] for f in (1, 2, 3, 4))
+    assert [r[0] for r in coarse] == [2, 3, 4, 5] and all(np.allclose(o, coarse, rtol=1e-9) for o in others)
+
+
+def test_variogram_meets_the_pairs_once(spark, limited):
+    points = spark.range(1_500_000).selectExpr("double(id % 30) x", "double(id % 20) y", "double(id % 30 + id % 7) v")
+    bins, v = variogram.ofe_variogram(points, "v", trend=["x"])
+    assert "Join" not in bins._jdf.queryExecution().optimizedPlan().toString()
+    assert bins.agg({"n_pair": "sum"}).first()[0] > 10**11 and v.nugget + v.psill > 0

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tilth.operators.variogram import Variogram, fit_variogram, ofe_variogram, pair_bins
+from tilth.operators.variogram import FINE, Variogram, fit_variogram, ofe_variogram, pair_bins
 from tilth.semantics import number, require_columns
 
 #: Samples are a sparse layer: more than this many are not sent to every task.
@@ -116,7 +116,7 @@ def kriging_variogram(points: DataFrame, value: str, x: str = "x", y: str = "y",
             raise ValueError("samples in one place say nothing about distance") from None
         return Variogram("Exp", 0.1 * (r["v"] or 1.0), 0.9 * (r["v"] or 1.0), r["extent"] / 4), "scale"
     b = own.agg(F.max("x") - F.min("x"), F.max("y") - F.min("y")).first()
-    bins = pair_bins(own, "v", "x", "y", float(np.hypot(*b)) / 3, n_bin).orderBy("bin").collect()  # n_bin rows at most
+    bins = pair_bins(own, "v", "x", "y", float(np.hypot(*b)) / 3, n_bin, FINE).orderBy("bin").collect()  # n_bin rows at most
     better = refined(start, *([r[c] for r in bins] for c in ("h", "gamma", "n_pair"))) if len(bins) >= 3 else None
     return (better, "weighted refinement") if better else (start, "constrained fit")
 

@@ -14,29 +14,34 @@ from tilth.semantics import number, require_columns, right_closed_bin
 
 MODELS = ("Exp", "Sph", "Gau")
 PRACTICAL = {"Exp": 3.0, "Sph": 1.0, "Gau": math.sqrt(3.0)}
+#: Squares along a cutoff that is a third of the field, so that the pairs are shared out over some eighty squares, not nine. Fixed.
+FINE = 3
 
 
-def pair_bins(points: DataFrame, value: str, x: str = "x", y: str = "y", cutoff: float = 1.0, n_bin: int = 15) -> DataFrame:
+def pair_bins(points: DataFrame, value: str, x: str = "x", y: str = "y", cutoff: float = 1.0, n_bin: int = 15, fine: int = 1) -> DataFrame:
     """bin, h, gamma, n_pair over pairs no further apart than cutoff, in right-closed bins.
 
     Rows of one place count as one: all their pairs with those of another place have the same
     distance, and their squared differences add up to what the counts, means and spreads of the two
     say. So the work grows with the pairs of places, whatever number of rows a place has. Places meet
-    by equi-join on squares of side cutoff: a place goes to its own square and to those four of the
-    eight around it that come later, so only places within reach meet, and no two meet twice.
+    by equi-join on squares, `fine` of them along the cutoff: a place goes to its own square and to
+    those within reach that come later (four of the eight around it where fine is 1), so no two meet
+    twice. Few places make many pairs, so the join keeps the session's number of partitions, however
+    small they are.
     """
     require_columns(points, value, x, y)
     own = points.select(number(x).alias("x"), number(y).alias("y"), number(value).alias("v")).dropna()
     endless = F.when(F.abs("v") == float("inf"), F.col("v")).otherwise(F.lit(0.0))  # apart from the others of a place, for they have no spread
     own = own.groupBy("x", "y", endless.alias("w")).agg(F.count("*").alias("n"), F.avg("v").alias("m"), F.nanvl(F.var_pop("v") * F.count("*"), F.lit(0.0)).alias("s")).withColumn("id", F.struct("x", "y", "w"))
-    own = own.withColumns({"cx": F.floor(F.col("x") / cutoff), "cy": F.floor(F.col("y") / cutoff)})
-    steps = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in ((0, 0), (0, 1), (1, -1), (1, 0), (1, 1))])
+    side, parts = cutoff / fine * (1 + 1e-9), int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    own = own.withColumns({"cx": F.floor(F.col("x") / side), "cy": F.floor(F.col("y") / side)})
+    steps = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in range(fine + 1) for j in range(-fine, fine + 1) if (i, j) >= (0, 0)])
     later = own.select(*[F.col(c).alias(f"{c}2") for c in ("id", "x", "y", "n", "m", "s")], "cx", "cy", F.explode(steps).alias("t"))
     later = later.select("id2", "x2", "y2", "n2", "m2", "s2", (F.col("cx") - F.col("t.i")).alias("cx"), (F.col("cy") - F.col("t.j")).alias("cy"), ((F.col("t.i") == 0) & (F.col("t.j") == 0)).alias("same"))
     h = F.sqrt(F.pow(F.col("x") - F.col("x2"), 2) + F.pow(F.col("y") - F.col("y2"), 2))
     k = F.col("n") * F.col("n2")
     g = (F.col("n") * F.col("s2") + F.col("n2") * F.col("s") + k * F.pow(F.col("m") - F.col("m2"), 2)) / 2
-    pairs = own.join(later, ["cx", "cy"]).filter(~F.col("same") | (F.col("id") < F.col("id2"))).select(h.alias("h"), g.alias("g"), k.alias("k")).filter((F.col("h") <= cutoff) & (F.col("h") > 0))
+    pairs = own.repartition(parts, "cx", "cy").join(later.repartition(parts, "cx", "cy"), ["cx", "cy"]).filter(~F.col("same") | (F.col("id") < F.col("id2"))).select(h.alias("h"), g.alias("g"), k.alias("k")).filter((F.col("h") <= cutoff) & (F.col("h") > 0))
     n_pair = F.sum("k")
     return pairs.groupBy(F.least(right_closed_bin(F.col("h"), cutoff / n_bin), F.lit(n_bin)).alias("bin")).agg((F.sum(F.col("h") * F.col("k")) / n_pair).alias("h"), (F.sum("g") / n_pair).alias("gamma"), n_pair.alias("n_pair")).filter("n_pair >= 2")
 
@@ -115,7 +120,7 @@ LEAST_SAMPLES, LEAST_PAIRS = 10, 30
 
 def longest_distance(points: DataFrame, x: str = "x", y: str = "y") -> float:
     """The largest distance between two points: it lies between two corners of their hull."""
-    corners = field_hull(points.select(number(x).alias("x"), number(y).alias("y")))
+    corners = field_hull(points.select(number(x).alias("x"), number(y).alias("y")).distinct())
     return max((float(np.hypot(*(corners - c).T).max()) for c in corners), default=0.0)
 
 
@@ -133,8 +138,9 @@ def ofe_variogram(points: DataFrame, value: str, x: str = "x", y: str = "y", tre
         cutoff = longest_distance(own, x, y) / 3
     if not cutoff > 0:
         raise ValueError("all samples are in one place")
-    bins = pair_bins(own, value, x, y, cutoff, n_bin)
+    bins = pair_bins(own, value, x, y, cutoff, n_bin, FINE)
     rows = bins.orderBy("bin").collect()  # n_bin rows at most
+    bins = points.sparkSession.createDataFrame(rows, bins.schema)  # so that no reader of them meets the pairs again
     if sum(r["n_pair"] for r in rows) < LEAST_PAIRS:
         raise ValueError("too few pairs of samples lie within the cutoff")
     if len(rows) < 3:
